@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
 
+from . import relational  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES
 
-def queries() -> dict:
+
+def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 
 
