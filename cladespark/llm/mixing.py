@@ -106,7 +106,8 @@ def plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: st
     parts = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     start = F.col("block") * block
     parts = parts.withColumn("lo", F.greatest(F.col("off") - start, F.lit(0))).withColumn("hi", F.least(F.col("off") + F.col("size") - start, F.lit(block))).withColumn("from", F.greatest(start - F.col("off"), F.lit(0)))
-    return parts.join(slots(sources, seed, block), ["key", "block"], "left").withColumn("words", F.when(F.col("take").isNull(), 0).otherwise(F.greatest(F.least("hi", "take") - F.col("lo"), F.lit(0))))
+    # A merge join: slots are exploded from a few rows, whose size would let the planner broadcast them all.
+    return parts.join(slots(sources, seed, block).hint("merge"), ["key", "block"], "left").withColumn("words", F.when(F.col("take").isNull(), 0).otherwise(F.greatest(F.least("hi", "take") - F.col("lo"), F.lit(0))))
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
