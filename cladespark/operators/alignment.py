@@ -75,9 +75,8 @@ def frequencies(counted: DataFrame, n_states: int, rounds: int = 8) -> DataFrame
     def one(f: Column) -> Column:
         whole = lambda x: F.aggregate(bits, F.lit(0.0), lambda s, b: s + F.when(has(x, b), F.get(f, b)).otherwise(0.0))
         raw = F.transform(bits, lambda b: F.aggregate("m", F.lit(0.0), lambda s, x: s + F.when(has(x, b), x["n"] * F.get(f, b) / whole(x)).otherwise(0.0)))
-        return raw
+        return F.get(F.transform(F.array(raw), lambda r: F.transform(r, lambda x: x / F.aggregate(r, F.lit(0.0), lambda s, y: s + y))), F.lit(0))
 
-    df = masks.withColumn("f", F.array(*[F.lit(1.0 / n_states)] * n_states))
-    for _ in range(rounds):
-        df = df.withColumn("r", one(F.col("f"))).withColumn("t", F.aggregate("r", F.lit(0.0), lambda s, x: s + x)).withColumn("f", F.transform("r", lambda x: x / F.col("t"))).select("m", "f")
+    start = F.array_repeat(F.lit(1.0 / n_states), n_states)
+    df = masks.withColumn("f", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda f, _: one(f)))
     return df.select(F.posexplode("f").alias("bit", "frequency"))

@@ -162,7 +162,7 @@ def _w1(spark, d):
 @query("w5_elapsed", "select user_id, max(epoch(ts) - epoch(p))::bigint as longest from (select user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as p from events) group by user_id")
 def _w5(spark, d):
     e = A.table(spark, d, "events").withColumn("p", F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id")))
-    return e.groupBy("user_id").agg(F.round(F.max((F.unix_micros("ts") - F.unix_micros("p")) / 1e6)).cast("long").alias("longest"))
+    return e.groupBy("user_id").agg(F.round(F.max((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("p").cast("timestamp"))) / 1e6)).cast("long").alias("longest"))
 
 
 @query("w6_heats", f"""with {T}, f as (select param, ordinal, string_agg(run_id::varchar, ',' order by value desc, run_id) as o from trace where ordinal <= 50 group by all) select * from f""")
