@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import relational  # noqa: F401  registers its queries
+from . import phylo, relational  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 
