@@ -19,7 +19,7 @@ def write_samples(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def tree_header(names: dict[int, str], some_id: str, param: str = "tree") -> str:
-    table = ",\n".join(f"\t\t{k}\t{v}" for k, v in sorted(names.items()))
+    table = ",\n".join(f"\t{k}\t{v}" for k, v in sorted(names.items()))
     return f"#NEXUS\n[ID: {some_id}]\n[Param: {param}]\nbegin trees;\n\ttranslate\n{table};"
 
 
