@@ -22,10 +22,14 @@ SAMPLE = 8000
 MOST_BIGRAMS = 200_000
 MOST_WORDS = 200_000
 DISCOUNT = 0.75
-#: Words and bigrams in fewer sampled documents fall back to the shared counts.
-LEAST_DOCS = 5
+#: Words in fewer contexts, and bigrams in fewer sampled documents, fall back to the shared counts.
+LEAST = 5
 #: Of the words and bigrams that are kept as telling, at most about this part are so by chance.
 FALSE_RATE = 0.05
+#: Log-ratios below this are taken for chance, as common words have so many contexts that any difference stands out.
+LEAST_RATIO = 0.7
+#: Bound of the normalised log-ratio, so that lines repeated hundreds of times count no more than plain evidence.
+MOST_RATIO = 4.0
 EDGE = b".,;:!?\"'()[]{}#*$%&|<>-_"
 
 
@@ -81,7 +85,7 @@ class Model:
                 r = bigram((before, w)) if before in heads else None
                 total += word(w, 0.0) if r is None else r
                 before = w
-        return total / n**0.5 if n else 0.0
+        return max(-MOST_RATIO, min(MOST_RATIO, total / n**0.5)) if n else 0.0
 
     def score(self, text: bytes) -> float:
         z = self.slope * self.ratio(text) + self.shift
@@ -89,7 +93,7 @@ class Model:
 
 
 def _counts(docs: DataFrame, chosen: DataFrame, text: str, id_col: str) -> DataFrame:
-    """``(y, a, b, n, d)``: bigrams (a null: words) of the sampled documents with occurrences and documents, by class."""
+    """``(y, a, b, n, d)``: bigrams of the sampled documents with occurrences and documents, by class."""
     bound_batches(docs.sparkSession)
     # The sample is bounded by SAMPLE ids of each class, so its broadcast is as well.
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
@@ -104,7 +108,6 @@ def _counts(docs: DataFrame, chosen: DataFrame, text: str, id_col: str) -> DataF
                     before = b""
                     for part in pieces(t):
                         for w in words(part):
-                            own[y, None, w] += 1
                             own[y, before, w] += 1
                             before = w
                     n.update(own)
@@ -156,25 +159,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     chosen = durable(chosen)
     inner = chosen.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
     counts = durable(_counts(docs, inner, text, id_col))
-    grams = counts.filter("a is not null")
-    sums = {r.y: (r.types, r.n) for r in grams.groupBy("y").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("n")).collect()}
-    sizes = {r.y: r.n for r in inner.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sums = {r.y: (r.types, r.n) for r in counts.groupBy("y").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("n")).collect()}
     if set(sums) != {0, 1}:
         return Model(shift=-1e-3)
-    share = sizes[1] / (sizes[0] + sizes[1])
-    sided = [F.sum(F.when(F.col("y") == y, F.col(c)).otherwise(0)).alias(f"{c}{y}") for y in (0, 1) for c in "nd"]
-    by_gram = counts.groupBy("a", "b").agg(*sided).withColumn("d", F.col("d0") + F.col("d1")).filter(F.col("d") >= LEAST_DOCS)
-    kept = [told(by_gram.filter(f"a is {no}null").orderBy(F.desc("d"), "a", "b").limit(most).collect(), share) for no, most in (("", MOST_WORDS), ("not ", MOST_BIGRAMS))]
-    pairs = [(bytes(r.a), bytes(r.b), r.n0, r.n1) for r in kept[1]]
-    vocabulary = sorted({bytes(r.b) for r in kept[0]} | {b for _, b, _, _ in pairs})
+    sizes = {r.y: r.n for r in inner.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sided = lambda c: [F.sum(F.when(F.col("y") == y, c).otherwise(0)).alias(f"d{y}") for y in (0, 1)]
+    # A word's evidence is the number of different words before it, as its Kneser-Ney count is: a passage that many
+    # documents share is one context, so groups of copies do not look like evidence.
+    by_word = counts.groupBy("b").agg(*sided(F.lit(1))).withColumn("a", F.lit(None).cast("binary")).withColumn("d", F.col("d0") + F.col("d1")).filter(F.col("d") >= LEAST)
+    known = told(by_word.orderBy(F.desc("d"), "b").limit(MOST_WORDS).collect(), sums[1][0] / (sums[0][0] + sums[1][0]))
+    vocabulary = sorted(bytes(r.b) for r in known)
     rank = {w: i for i, w in enumerate(vocabulary)}
     spark = counts.sparkSession
     listed = lambda ws: F.broadcast(spark.createDataFrame([(w,) for w in sorted(ws)], "w binary"))
-    types = np.zeros((2, len(rank)))  # in how many distinct bigrams a word comes second
-    for r in grams.join(listed(vocabulary), F.col("b") == F.col("w")).groupBy("y", "b").agg(F.count(F.lit(1)).alias("k")).collect():
-        types[r.y, rank[bytes(r.b)]] = r.k
+    types = np.array([[r.d0, r.d1] for r in sorted(known, key=lambda r: bytes(r.b))], float).reshape(-1, 2).T
+    by_gram = counts.join(listed(vocabulary), F.col("b") == F.col("w")).groupBy("a", "b").agg(*sided(F.col("d")), *[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]).withColumn("d", F.col("d0") + F.col("d1")).filter(F.col("d") >= LEAST)
+    pairs = [(bytes(r.a), bytes(r.b), r.n0, r.n1) for r in told(by_gram.orderBy(F.desc("d"), "a", "b").limit(MOST_BIGRAMS).collect(), sizes[1] / (sizes[0] + sizes[1]))]
     follow: list[dict[bytes, tuple[int, int]]] = [{}, {}]  # distinct and all bigrams after a history
-    for r in grams.join(listed({a for a, *_ in pairs}), F.col("a") == F.col("w")).groupBy("y", "a").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect():
+    for r in counts.join(listed({a for a, *_ in pairs}), F.col("a") == F.col("w")).groupBy("y", "a").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect():
         follow[r.y][bytes(r.a)] = (r.k, r.n)
 
     shared, total = _shared(docs, text, vocabulary)
@@ -185,14 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
         freed = 1 - np.maximum(types[y] - DISCOUNT, 0).sum() / n  # what discounts and all words without evidence leave to the shared counts
         p.append(np.maximum(types[y] - DISCOUNT, 0) / n + freed * base)
     word = np.log(p[1]) - np.log(p[0])
-    own = {bytes(r.b) for r in kept[0]}
-    model = Model({w: float(x) for w, x in zip(vocabulary, word, strict=True) if w in own})
+    model = Model({w: float(x) for w, x in zip(vocabulary, word, strict=True) if abs(x) >= LEAST_RATIO})
     for a, b, *ns in pairs:
         q = []
         for y in (0, 1):
             k, n = follow[y].get(a, (0, 0))
             q.append((max(ns[y] - DISCOUNT, 0) + DISCOUNT * k * p[y][rank[b]]) / n if n else p[y][rank[b]])
-        model.bigram[a, b] = float(np.log(q[1]) - np.log(q[0]))
+        if abs(ratio := float(np.log(q[1]) - np.log(q[0]))) >= LEAST_RATIO:
+            model.bigram[a, b] = ratio
     model.heads = frozenset(a for a, _ in model.bigram)
     outer = chosen.filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
     rows = scores(docs.join(F.broadcast(outer.select(F.col("doc_id").alias(id_col), "y")), id_col), model, text, ["y"], raw=True).collect()  # bounded by the sample
@@ -205,8 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
 
 def told(rows: list, share: float, rate: float = FALSE_RATE) -> list:
-    """The rows whose documents lie in one class beyond chance: a sign test of each, and Benjamini and Hochberg's
-    rule for all together. ``share`` is the toxic part of the sampled documents."""
+    """The rows whose counts ``d0`` and ``d1`` lie in one class beyond chance: a sign test of each, and Benjamini and
+    Hochberg's rule for all together. ``share`` is the toxic part of all counts."""
     known: dict[tuple[int, int], float] = {}
 
     def tail(k: int, n: int, q: float) -> float:
