@@ -25,7 +25,7 @@ DISCOUNT = 0.75
 #: Words in fewer contexts, and bigrams in fewer sampled documents, fall back to the shared counts.
 LEAST = 5
 #: Of the words and bigrams that are kept as telling, at most about this part are so by chance.
-FALSE_RATE = 0.05
+FALSE_RATE = 0.1
 #: Log-ratios below this are taken for chance, as common words have so many contexts that any difference stands out.
 LEAST_RATIO = 0.7
 #: Bound of the normalised log-ratio, so that lines repeated hundreds of times count no more than plain evidence.
@@ -220,7 +220,7 @@ def told(rows: list, share: float, rate: float = FALSE_RATE) -> list:
     def chance(r) -> float:
         key = (r.d0, r.d1)
         if key not in known:
-            known[key] = min(1.0, 2 * min(tail(r.d1, r.d, share), tail(r.d0, r.d, 1 - share)))
+            known[key] = min(tail(r.d1, r.d, share), tail(r.d0, r.d, 1 - share))
         return known[key]
 
     ordered = sorted(rows, key=lambda r: (chance(r), bytes(r.a or b""), bytes(r.b)))
