@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import log, sqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -30,6 +30,8 @@ TEMPLATES = (
 )
 #: Cosine from which a line or a whole text counts as a template's.
 THRESHOLD = 0.75
+#: Everyday words, which make poor anchors; a fixed list.
+FREQUENT = frozenset("a all and any are as at be by for form from in is it may more not of on or other out that the their this to under use used with work you your code file files free copy following either provided possible".split())
 _TERM = r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 
 
@@ -68,7 +70,7 @@ class Vectors:
         chosen: set[str] = set()
         common = ("license", "licensed", "licence", "licenced", "permission", "redistribution", "copyright")
         for _, vector in self.rows:
-            rest = sorted(vector, key=lambda t: (t not in common, len(t) < 4, -vector[t], t))
+            rest = sorted(vector, key=lambda t: (t not in common, t in FREQUENT or t.isdigit(), -vector[t] if t in FREQUENT else -len(t), t))
             for t in rest:
                 if sum(w * w for u, w in vector.items() if u not in chosen) < (self.threshold * 0.999) ** 2:
                     break
@@ -76,32 +78,36 @@ class Vectors:
         return sorted(chosen)
 
 
-def score(lines: DataFrame, v: Vectors, keys: list[str], text: str) -> DataFrame:
-    """``keys``, ``score`` and ``licence`` of every row whose text reaches the threshold with some template.
+def best(text: Column, v: Vectors) -> Column:
+    """``struct<score, at, licence>``: the template with the largest cosine (the first of equals), in the row alone.
 
-    Terms become rows, are counted, and meet the templates' weights by an equi-join; only rows with an anchor term
-    come this far. The weights are a table of a few hundred rows.
+    Sorted terms come in runs, so one pass adds up the squares of the text's vector: the k-th of a run adds 2k - 1.
     """
-    spark = lines.sparkSession
-    terms = lines.select(*keys, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0))).alias("term"))
-    counted = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    table = spark.createDataFrame([(t, v.idf[t], [float(vec.get(t, 0.0)) for _, vec in v.rows]) for t in sorted(v.idf)], "term string, idf double, weights array<double>")
-    weighted = counted.join(F.broadcast(table), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(v.unknown)))
-    sums = [F.sum(F.coalesce(F.get("weights", F.lit(i)), F.lit(0.0)) * F.col("x")).alias(f"d{i}") for i in range(len(v.rows))]
-    dots = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *sums)
-    best = F.greatest(*[F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 9).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("licence")) for i, (name, _) in enumerate(v.rows)])
-    return dots.withColumn("b", best).filter(F.col("b.score") >= v.threshold).select(*keys, F.col("b.score").alias("score"), F.col("b.licence").alias("licence"))
+    table = F.create_map(*[x for t in sorted(v.idf) for x in (F.lit(t), F.struct(F.lit(v.idf[t]).alias("idf"), F.array(*[F.lit(float(vec.get(t, 0.0))) for _, vec in v.rows]).alias("w")))])
+    terms = F.sort_array(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
+    xs = F.transform(terms, lambda t: F.struct(t.alias("t"), F.try_element_at(table, t).alias("v")))
+
+    def add(a: Column, x: Column) -> Column:
+        k = F.when(x["t"] == a["t"], a["k"] + 1).otherwise(F.lit(1))
+        idf = F.coalesce(x["v"]["idf"], F.lit(v.unknown))
+        dots = F.when(x["v"].isNull(), a["d"]).otherwise(F.zip_with(a["d"], x["v"]["w"], lambda d, w: d + w * idf))
+        return F.struct(x["t"].alias("t"), k.alias("k"), (a["s"] + (2 * k - 1) * idf * idf).alias("s"), dots.alias("d"))
+
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("k"), F.lit(0.0).alias("s"), F.array(*[F.lit(0.0)] * len(v.rows)).alias("d"))
+    names = F.array(*[F.lit(n) for n, _ in v.rows])
+    pick = lambda a: F.array_max(F.transform(a["d"], lambda d, i: F.struct(F.round(d / F.sqrt(a["s"]), 9).alias("score"), (-i).alias("at"), F.get(names, i).alias("licence"))))
+    return F.when(F.size(terms) > 0, F.aggregate(xs, start, add, pick))
 
 
 def detect(files: DataFrame, v: Vectors, text: str = "text", path: str = "path") -> DataFrame:
     """``(path, score, licence, whole)`` of the files that hold a licence text: the best line, or the file as a whole."""
-    anchors = "(?i)" + "|".join(a.replace(".", r"\.").replace("+", r"\+") for a in v.anchors)
-    near = files.select(F.col(path).alias("path"), F.col(text).alias("t")).filter(F.col("t").rlike(anchors)).distinct()
-    lines = near.select("path", F.posexplode(F.split("t", "\n")).alias("line", "s")).filter(F.col("s").rlike(anchors))
-    whole = near.select("path", F.lit(-1).alias("line"), F.col("t").alias("s"))
-    found = score(lines.union(whole), v, ["path", "line"], "s")
-    best = found.groupBy("path").agg(F.max(F.struct("score", (-F.col("line")).alias("at"), "licence")).alias("b"), F.max(F.when(F.col("line") < 0, F.col("score"))).alias("whole"))
-    return best.select("path", F.col("b.score").alias("score"), F.col("b.licence").alias("licence"), F.col("whole").isNotNull().alias("whole"))
+    anchors = "(?i)(?<![a-z0-9])(?:" + "|".join(a.replace(".", r"\.").replace("+", r"\+") for a in v.anchors) + ")(?![a-z0-9])"
+    near = files.select(F.col(path).alias("path"), F.col(text).alias("t")).filter(F.col("t").rlike(anchors))
+    lines = F.filter(F.transform(F.split("t", "\n"), lambda s, i: F.struct(i.alias("line"), s.alias("s"))), lambda x: x["s"].rlike(anchors))
+    rows = near.select("path", F.explode(F.concat(lines, F.array(F.struct(F.lit(-1).alias("line"), F.col("t").alias("s"))))).alias("x"))
+    found = rows.select("path", "x.line", best(F.col("x.s"), v).alias("b")).filter(F.col("b.score") >= v.threshold).select("path", "line", "b.score", "b.licence")
+    top = found.groupBy("path").agg(F.max(F.struct("score", (-F.col("line")).alias("at"), "licence")).alias("b"), F.max(F.when(F.col("line") < 0, F.col("score"))).alias("whole"))
+    return top.select("path", F.col("b.score").alias("score"), F.col("b.licence").alias("licence"), F.col("whole").isNotNull().alias("whole"))
 
 
 def licences(files: DataFrame, v: Vectors | None = None, text: str = "text", path: str = "path", id_col: str = "doc_id") -> DataFrame:
@@ -115,7 +121,7 @@ def licences(files: DataFrame, v: Vectors | None = None, text: str = "text", pat
     v = v or Vectors()
     own = durable(detect(files, v, text, path))
     directory = F.regexp_replace("path", "/?[^/]*$", "")
-    covers = own.filter("whole").groupBy(directory.alias("dir")).agg(F.max_by(F.struct("licence", "score", "path"), F.struct("score", F.xxhash64("path"))).alias("cover"))
+    covers = own.filter("whole").groupBy(directory.alias("dir")).agg(F.min_by(F.struct("licence", "score", "path"), F.struct(-F.col("score"), "path")).alias("cover"))
     base = files.select(F.col(id_col).alias("doc_id"), F.col(path).alias("path"))
     direct = base.join(own.select("path", "licence", "score"), "path", "left")
     # Directories, not files, look for the nearest cover: each is a row with all its ancestors.
