@@ -118,9 +118,10 @@ def canonical(table: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
     Columns that no layout knows do not matter. A table of an unknown shape is refused.
     """
-    layout = BY_FINGERPRINT.get(fingerprint(schema_paths(table.schema)))
+    paths = schema_paths(table.schema)
+    layout = BY_FINGERPRINT.get(fingerprint(paths)) or BY_FINGERPRINT.get(fingerprint({*paths} - {id_col}))
     if layout is None:
-        raise ValueError(f"no layout for the paths {sorted({*schema_paths(table.schema)} & {*VOCABULARY})}")
+        raise ValueError(f"no layout for the paths {sorted({*paths} & {*VOCABULARY})}")
     if layout.rows:
         conv, turn, role, text = layout.rows
         return table.select(F.col(conv).cast("long").alias("conv_id"), F.lit(layout.name).alias("layout"), F.col(turn).cast("long").alias("turn"), _named(F.col(role), layout.roles).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))

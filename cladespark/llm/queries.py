@@ -70,8 +70,7 @@ with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 n as (
-  select *, case role when 'human' then 'user' when 'gpt' then 'assistant' when 'bot' then 'assistant' when 'model' then 'assistant' when 'ai' then 'assistant' else role end as r0,
-    len(regexp_extract_all(text, '[<\[]\\*/?(?:s>|INST\])')) as more from t)
+  select *, len(regexp_extract_all(text, '[<\[]\\*/?(?:s>|INST\])')) as more from t)
 select conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
