@@ -19,7 +19,7 @@ def _sizes(trees: DataFrame) -> DataFrame:
 def _after(trees: DataFrame, cuts: DataFrame, compat: bool) -> DataFrame:
     """Trees from the cut on. With ``compat`` two header marks count as skipped trees, so the window slides back by two
     (by one for a cut of one) and as many trees at the end are lost."""
-    t = trees.join(F.broadcast(cuts), "file_id")
+    t = trees.join(cuts, "file_id")
     if compat:
         back = F.least(F.col("cut"), F.lit(2))
         return t.filter((F.col("ordinal") >= F.col("cut") - back) & (F.col("ordinal") < F.col("n") - back)).drop("cut", "n")
@@ -213,10 +213,12 @@ def credible_size(topologies: DataFrame, shares: tuple[float, ...] = (0.5, 0.99)
     return c.select("share", (F.col("rows") + inside).cast("long").alias("topologies"))
 
 
-def rf_distances(obs: DataFrame) -> DataFrame:
-    """``(a, b, rf)``: the Robinson-Foulds distance of trees that share a split, over splits; other pairs have the sum
-    of their sizes. Meant for the few trees that a plot can show."""
-    s = obs.select(F.concat_ws(":", "file_id", "tree_id").alias("t"), "split_id").distinct()
+def rf_distances(splits: DataFrame, tree: str = "tree_id") -> DataFrame:
+    """``(a, b, rf)``: the Robinson-Foulds distance of trees that share a split; other pairs have the sum of their sizes.
+
+    Meant for the distinct topologies of a sample, of which a plot can show a few thousand.
+    """
+    s = splits.select(F.col(tree).alias("t"), "split_id").distinct()
     size = s.groupBy("t").agg(F.count(F.lit(1)).alias("k"))
     pairs = s.alias("x").join(s.alias("y"), (F.col("x.split_id") == F.col("y.split_id")) & (F.col("x.t") < F.col("y.t"))).groupBy(F.col("x.t").alias("a"), F.col("y.t").alias("b")).agg(F.count(F.lit(1)).alias("common"))
     return pairs.join(size.select(F.col("t").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("t").alias("b"), F.col("k").alias("kb")), "b").select("a", "b", (F.col("ka") + F.col("kb") - 2 * F.col("common")).alias("rf"))

@@ -77,12 +77,11 @@ def consensus_tree(spark, d):
     return spark.createDataFrame([(k, consensus.consensus(obs, TAXA, k)) for k in ("MR", "MRE", "STRICT")], "kind string, newick string")
 
 
-@query("p15_compatible", f"""with {COMBS_SQL}, c as (select split, count(*) as n from combs group by 1 order by n desc, split limit 30),
-l as (select split, string_split(split, ',') as s from c)
+@query("p15_compatible", f"""with {COMBS_SQL}, l as (select distinct split, string_split(split, ',') as s from combs)
 select a.split as a, b.split as b, (len(list_intersect(a.s, b.s)) in (0, len(a.s), len(b.s))) as compatible from l a join l b on a.split < b.split""")
 def compatible(spark, d):
-    c = trees.splits_table(tree_texts(spark, d), with_length=False).withColumn("s", F.array_join(F.col("split").cast("array<string>"), ","))
-    top = c.groupBy("s").agg(F.first("split").alias("split"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "s").limit(30)
+    c = trees.splits_table(tree_texts(spark, d), with_length=False).select("split").distinct()  # eight taxa have at most 119
+    top = c.withColumn("s", F.array_join(F.col("split").cast("array<string>"), ","))
     x, y = top.alias("x"), top.alias("y")
     return x.join(y, F.col("x.s") < F.col("y.s")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), splits.compatible(F.col("x.split"), F.col("y.split")).alias("compatible"))
 
@@ -119,13 +118,13 @@ def _patterns(spark, d) -> DataFrame:
 
 @query("a23_parsimony")
 def parsimony(spark, d):
-    return likelihood.parsimony(_patterns(spark, d), likelihood.caterpillar(16))
+    return likelihood.parsimony(_patterns(spark, d), likelihood.caterpillar(A.table(spark, d, "embeddings").count()))
 
 
 @query("a22_likelihood")
 def log_likelihood(spark, d):
     model = likelihood.reversible(np.ones(1), np.full(2, 0.5), 1.0)
-    return rounded(likelihood.log_likelihood(_patterns(spark, d), likelihood.caterpillar(16), {}, model))
+    return rounded(likelihood.log_likelihood(_patterns(spark, d), likelihood.caterpillar(A.table(spark, d, "embeddings").count()), {}, model))
 
 
 @query("p11_gamma_rates")
@@ -146,9 +145,9 @@ def densities(spark, d):
 
 
 @query("r1_dirichlet", """select l_orderkey, l_linenumber, round(lgamma(9.0) - lgamma(2.0) - lgamma(3.0) - lgamma(4.0) + ln(a) + 2 * ln(b) + 3 * ln(c), 6) as ln_dirichlet
-from (select l_orderkey, l_linenumber, l_quantity / t as a, (l_partkey % 50 + 1) / t as b, (l_suppkey % 10 + 1) / t as c from (select *, l_quantity + l_partkey % 50 + 1 + l_suppkey % 10 + 1 as t from lineitem where l_orderkey < 3000))""")
+from (select l_orderkey, l_linenumber, l_quantity / t as a, (l_partkey % 50 + 1) / t as b, (l_suppkey % 10 + 1) / t as c from (select *, l_quantity + l_partkey % 50 + 1 + l_suppkey % 10 + 1 as t from lineitem))""")
 def dirichlet(spark, d):
-    li = A.table(spark, d, "lineitem").filter("l_orderkey < 3000")
+    li = A.table(spark, d, "lineitem")
     v = scalar.to_sum(F.array(F.col("l_quantity").cast("double"), (F.col("l_partkey") % 50 + 1).cast("double"), (F.col("l_suppkey") % 10 + 1).cast("double")))
     return rounded(li.select("l_orderkey", "l_linenumber", density.ln_dirichlet(v, [2.0, 3.0, 4.0]).alias("ln_dirichlet")))
 
@@ -175,10 +174,10 @@ def heats(spark, d):
     return rounded(A.table(spark, d, "region").select(F.col("r_regionkey").alias("chain"), scalar.heat(0.1, F.col("r_regionkey")).alias("beta")), 9)
 
 
-@query("p5_normalise", """with v as (select l_orderkey, l_linenumber, l_quantity as a, l_tax + 1 as b, l_discount + 2 as c from lineitem where l_orderkey < 1000)
+@query("p5_normalise", """with v as (select l_orderkey, l_linenumber, l_quantity as a, l_tax + 1 as b, l_discount + 2 as c from lineitem)
 select l_orderkey, l_linenumber, round(a / (a + b + c), 9) as share, round(a / c, 9) as relative, round(b / (a + b + c) * 3, 9) as scaled from v""")
 def normalise(spark, d):
-    v = A.table(spark, d, "lineitem").filter("l_orderkey < 1000").withColumn("v", F.array("l_quantity", F.col("l_tax") + 1, F.col("l_discount") + 2))
+    v = A.table(spark, d, "lineitem").withColumn("v", F.array("l_quantity", F.col("l_tax") + 1, F.col("l_discount") + 2))
     v = v.select("l_orderkey", "l_linenumber", F.get(scalar.to_sum(F.col("v")), F.lit(0)).alias("share"), F.get(scalar.relative_to_last(F.col("v")), F.lit(0)).alias("relative"), F.get(scalar.to_sum(F.col("v"), 3.0), F.lit(1)).alias("scaled"))
     return rounded(v, 9)
 

@@ -35,10 +35,9 @@ def topology(obs: DataFrame) -> DataFrame:
     return obs.groupBy("file_id", "tree_id").agg(F.array_join(F.sort_array(F.collect_set("split_id")).cast("array<string>"), ",").alias("topology"))
 
 
-def alignment(spark: SparkSession, sf_dir: str, taxa: int = 16) -> DataFrame:
-    """``(taxon_id, site, state)``: signs of the first embeddings as a binary alignment, sites from 1, states 1 and 2."""
-    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < taxa)
-    return e.select((F.col("vec_id") + 1).cast("int").alias("taxon_id"), F.posexplode("embedding").alias("p", "x")).select("taxon_id", (F.col("p") + 1).cast("int").alias("site"), F.when(F.col("x") >= 0, 2).otherwise(1).alias("state"))
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(taxon_id, site, state)``: signs of the embeddings as a binary alignment, sites from 1, states 1 and 2."""
+    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).cast("int").alias("taxon_id"), F.posexplode("embedding").alias("p", "x")).select("taxon_id", (F.col("p") + 1).cast("int").alias("site"), F.when(F.col("x") >= 0, 2).otherwise(1).alias("state"))
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +57,6 @@ TOPOLOGY_SQL = OBS_SQL + """, topologies as (
   select file_id, tree_id, string_agg(split_id::varchar, ',' order by split_id) as topology from obs group by all)"""
 ALIGNMENT_SQL = """aln as (
   select (vec_id + 1)::int as taxon_id, p::int as site, case when embedding[p] >= 0 then 2 else 1 end as state
-  from embeddings, range(1, 65) as r(p) where vec_id < 16)"""
+  from embeddings, range(1, 65) as r(p))"""
 COUNTERS_SQL = """counters as (
   select (user_id % 4)::int as run_id, user_id as name, event_id as gen, event_type = 'click' as accepted from events where event_type in ('click', 'error'))"""

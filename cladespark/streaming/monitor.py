@@ -20,7 +20,7 @@ def convergence(samples: DataFrame, run) -> DataFrame:
     trees = samples.select(F.col("run_id").alias("file_id"), F.col("gen").alias("tree_id"), F.get_json_object("body", "$.newick").alias("newick"))
     last = trees.groupBy("file_id").agg(F.max("tree_id").alias("last"), F.count(F.lit(1)).alias("n"))
     cut = F.lit(run.burninGen) if run.burninGen else F.floor(F.col("last") * F.lit(run.burninProportion))
-    kept = trees.join(F.broadcast(last.filter("n >= 4").withColumn("cut", cut)), "file_id").filter(F.col("tree_id") >= F.col("cut")).select("file_id", "tree_id", "newick")
+    kept = trees.join(last.filter("n >= 4").withColumn("cut", cut), "file_id").filter(F.col("tree_id") >= F.col("cut")).select("file_id", "tree_id", "newick")
     obs = splits_table(kept).withColumn("split_id", F.array_join(F.col("split").cast("array<string>"), ","))
     return splits.asdsf(obs, run.sdsfIgnoreFreq).crossJoin(last.agg(F.sum("n").alias("trees")))
 
