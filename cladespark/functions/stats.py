@@ -33,7 +33,7 @@ def sd(x) -> Column:
 
 
 def coefficient_of_variation(x) -> Column:
-    return sd(x) / F.avg(_c(x))
+    return F.try_divide(sd(x), F.avg(_c(x)))
 
 
 def skewness(x) -> Column:
@@ -58,7 +58,7 @@ def autocorrelation(samples: DataFrame, keys: list[str], order: str, value: str,
     """``keys, autocorrelation``: lagged products about the mean over the squares about it."""
     w = W.partitionBy(*keys)
     d = samples.withColumn("__d", F.col(value) - F.avg(value).over(w)).withColumn("__l", F.lead("__d", lag).over(w.orderBy(order)))
-    return d.groupBy(*keys).agg((F.sum(F.col("__d") * F.col("__l")) / F.sum(F.col("__d") * F.col("__d"))).alias("autocorrelation"))
+    return d.groupBy(*keys).agg(F.try_divide(F.sum(F.col("__d") * F.col("__l")), F.sum(F.col("__d") * F.col("__d"))).alias("autocorrelation"))
 
 
 def pearson(a, b, compat: bool = False) -> Column:
@@ -68,14 +68,15 @@ def pearson(a, b, compat: bool = False) -> Column:
 
 
 def psrf(samples: DataFrame, keys: list[str], run: str, value: str) -> DataFrame:
-    """``keys, psrf``: the potential scale reduction over runs of unequal length. One run gives 1.
+    """``keys, psrf``: the potential scale reduction over runs of unequal length. One run gives 1; runs without any
+    variance within give null.
 
     Two aggregations: the first makes a row for each key and run, so a long run is summed in parts.
     """
     per = samples.groupBy(*keys, run).agg(F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), variance(value).alias("v"))
     whole = per.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("k"), F.avg("v").alias("w"), F.avg("n").alias("n"), F.avg("m").alias("mm"), F.collect_list(F.struct("n", "m")).alias("runs"))
-    between = F.aggregate("runs", F.lit(0.0), lambda s, r: s + r["n"] * (r["m"] - F.col("mm")) * (r["m"] - F.col("mm"))) / (F.col("k") - 1)
-    value_ = F.when(F.col("k") == 1, F.lit(1.0)).otherwise(F.sqrt(((1 - 1 / F.col("n")) * F.col("w") + between / F.col("n")) / F.col("w")))
+    between = F.try_divide(F.aggregate("runs", F.lit(0.0), lambda s, r: s + r["n"] * (r["m"] - F.col("mm")) * (r["m"] - F.col("mm"))), F.col("k") - 1)
+    value_ = F.when(F.col("k") == 1, F.lit(1.0)).otherwise(F.sqrt(F.try_divide((1 - 1 / F.col("n")) * F.col("w") + between / F.col("n"), F.col("w"))))
     return whole.select(*keys, value_.alias("psrf"))
 
 
@@ -128,7 +129,7 @@ def ess_sql_form(samples: DataFrame, keys: list[str], order: str, value: str, la
     top = F.least(F.col("n") - 1, F.lit(lags)).cast("int")
     pairs = F.filter(F.transform(F.sequence(F.lit(1), F.lit(max(1, lags // 2))), lambda i: F.when(i * 2 < top, F.coalesce(F.col("g")[i * 2 - 1], F.lit(0.0)) + F.coalesce(F.col("g")[i * 2], F.lit(0.0)))), lambda v: v.isNotNull())
     step = F.aggregate(pairs, F.struct(F.lit(0.0).alias("s"), F.lit(True).alias("on")), lambda a, v: F.struct(F.when(a["on"] & (v > 0), a["s"] + 2 * v).otherwise(a["s"]).alias("s"), (a["on"] & (v > 0)).alias("on")), lambda a: a["s"])
-    return lists.select(*keys, F.when(F.col("n") < 2, F.col("n").cast("double")).otherwise(F.col("g")[F.lit(0)] * F.col("n") / (F.col("g")[F.lit(0)] + step)).alias("ess"))
+    return lists.select(*keys, F.when(F.col("n") < 2, F.col("n").cast("double")).otherwise(F.try_divide(F.col("g")[F.lit(0)] * F.col("n"), F.col("g")[F.lit(0)] + step)).alias("ess"))
 
 
 def discrete_distribution(values: DataFrame, label: str, keys: list[str] | None = None) -> DataFrame:

@@ -145,7 +145,7 @@ def statistics(obs: DataFrame, compat: bool = False) -> DataFrame:
     p = lambda q: stats.percentile("length", q, compat)
     rows = obs.groupBy("split_id").agg(F.count_distinct("file_id", "tree_id").alias("count"), stats.mean("length").alias("mean"), stats.sd("length").alias("sd"), p(0.05).alias("perc5"), p(0.25).alias("perc25"), p(0.5).alias("median"), p(0.75).alias("perc75"), p(0.95).alias("perc95"), F.count_distinct("file_id").alias("files"))
     scale = stats.psrf(obs, ["split_id"], "file_id", "length")
-    return rows.join(scale, "split_id").withColumn("psrf", F.when(F.col("files") > 1, F.nullif(F.col("psrf"), F.lit(float("nan")))))
+    return rows.join(scale, "split_id").withColumn("psrf", F.when(F.col("files") > 1, F.col("psrf")))
 
 
 def compatible(a: Column, b: Column) -> Column:

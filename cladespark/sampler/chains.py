@@ -178,7 +178,7 @@ class Sampler:
         samples = table.filter("kind = 'sample'")
         done = table.filter("kind = 'state'").agg(F.min("gen")).first()[0]
         if path:
-            self._put(samples, path, "errorifexists")
+            self._put(samples, path, "append" if resume is not None else "errorifexists")
         since = 0
         while done < goal:
             gens = min(batch, goal - done)
@@ -197,6 +197,22 @@ class Sampler:
         self.states = table.filter("kind = 'state'")
         return (self.spark.read.parquet(path) if path else samples).select("run_id", "gen", "lnl", "lnpr", "body")
 
+    def save(self, path: str) -> None:
+        """Keep the chains under a folder of their generation. A folder counts once its writer has marked it complete,
+        so a write that was cut off never hides the one before."""
+        gen = self.states.agg(F.min("gen")).first()[0]
+        self.states.write.mode("overwrite").parquet(f"{path}/gen={gen:012d}")
+
+    def load(self, path: str) -> DataFrame:
+        """The latest complete chains, to go on from with ``run(resume=...)``."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = [str(s.getPath()) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        if not done:
+            raise FileNotFoundError(f"no complete state in {path}")
+        return self.spark.read.parquet(max(done)).select([f.split()[0] for f in SCHEMA.split(", ")])
+
     def _put(self, samples: DataFrame, path: str, mode: str) -> None:
         samples.select("gen", "lnl", "lnpr", "body", "run_id").write.mode(mode).partitionBy("run_id").parquet(path)
 

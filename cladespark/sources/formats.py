@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.alignment import encode, sites_of
+from ..operators.alignment import encode, scheme_faults, sites_of
 
 #: Names of protein matrices that a scheme may give, fixed values.
 PROTEIN_MODELS = (
@@ -160,6 +160,10 @@ def scheme_sites(schemes: DataFrame) -> DataFrame:
     return sites_of(schemes)
 
 
+def scheme_faults_of(schemes: DataFrame, length: int) -> DataFrame:
+    return scheme_faults(sites_of(schemes), length)
+
+
 # Tree files.
 
 
