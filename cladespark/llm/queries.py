@@ -104,6 +104,43 @@ f as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed from f"""
 
 
+_DIGITS = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, {at}, 5))::bigint >> {shift}) & 31)::int + 1, 1)"
+
+OP10 = f"""
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x from pages),
+d as (select page_id, x, strlen(h)::bigint as payload_bytes, {" || ".join(_DIGITS.format(at=at, shift=shift) for at in range(1, 41, 5) for shift in (15, 10, 5, 0))} as payload_digest from p),
+m as (select *, min(page_id) over (partition by x) as first from d)
+select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to from m"""
+
+
+def op6_sql(v: licences.Vectors | None = None) -> str:
+    """Cosines of every line and whole text to every template, and the nearest licence text above each path."""
+    v = v or licences.Vectors()
+    idf = ", ".join(f"('{t}', {x!r}::double)" for t, x in sorted(v.idf.items()))
+    weights = ", ".join(f"('{t}', {k}, {w!r}::double)" for k, (_, vec) in enumerate(v.rows) for t, w in sorted(vec.items()))
+    names = ", ".join(f"({k}, '{n}')" for k, (n, _) in enumerate(v.rows))
+    return f"""
+with idf(term, idf) as (values {idf}), weights(term, k, w) as (values {weights}), names(k, licence) as (values {names}),
+f as (select doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id as path, text from documents),
+l as (select distinct path, i - 1 as line, string_split(text, chr(10))[i] as s from f, range(1, 100000) r(i) where i <= len(string_split(text, chr(10))) union select distinct path, -1, text from f),
+t as (select path, line, unnest(regexp_extract_all(lower(s), '{licences._TERM}')) as term from l),
+n as (select path, line, term, count(*) as tf from t group by all),
+x as (select n.*, tf * coalesce(idf, {v.unknown!r}::double) as x from n left join idf using (term)),
+norms as (select path, line, sqrt(sum(x * x)) as norm from x group by all),
+dots as (select path, line, k, sum(x * w) as d from x join weights using (term) group by all),
+scored as (select path, line, k, round(d / norm, 9) as score from dots join norms using (path, line)),
+hits as (select * from scored where score >= {v.threshold}),
+best as (select path, arg_max(struct_pack(k, score), (score, -line, -k)) as b, max(line < 0) as whole from hits group by 1),
+own as (select path, licence, b.score as score, whole, regexp_replace(path, '/?[^/]*$', '') as dir from best join names on b.k = names.k),
+above as (select path, a, row_number() over (partition by path order by length(a) desc) as up from (
+  select path, regexp_replace(path, '/?[^/]*$', '') as a from f union select path, regexp_replace(path, '/?[^/]*/[^/]*$', '') from f union select path, '' from f)),
+covers as (select dir, arg_min(struct_pack(licence, score, path), (-score, path)) as c from own where whole group by 1),
+nearest as (select above.path, arg_min(c, up) as c from above join covers on covers.dir = above.a group by 1)
+select f.doc_id, f.path, coalesce(own.licence, c.licence) as licence, coalesce(own.score, c.score) as score,
+  case when own.path is not null then 'own' when c is not null then 'inherited' end as origin, coalesce(own.path, c.path) as from_path
+from f left join own using (path) left join nearest on nearest.path = f.path"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SimHash needs XXH64, the mix and the models their draws and fits, and WARC base32, which SQL lacks."""
-    return {"op2_chat": OP2, "op9_quality": OP9}
+    """SimHash needs XXH64, and the mix, the models and token ids their draws, fits and merges, which SQL lacks."""
+    return {"op2_chat": OP2, "op6_licences": op6_sql(), "op9_quality": OP9, "op10_warc": OP10}
