@@ -30,6 +30,8 @@ FALSE_RATE = 0.1
 LEAST_RATIO = 0.7
 #: Bound of the normalised log-ratio, so that lines repeated hundreds of times count no more than plain evidence.
 MOST_RATIO = 4.0
+#: First bytes of a word that it falls back to: rare forms of an expression share them.
+STEM = 4
 EDGE = b".,;:!?\"'()[]{}#*$%&|<>-_"
 
 
@@ -59,11 +61,13 @@ def usable_labels(labels: DataFrame, id_col: str, label: str) -> DataFrame:
 class Model:
     """Log-ratios of the two class models over the kept words and bigrams, and a logistic calibration.
 
-    Any other word has the same shared probability in both models, so its ratio is 0."""
+    A word without a ratio of its own has that of its stem; any other has the same shared probability in both models,
+    so its ratio is 0."""
 
     word: dict[bytes, float] = attr(default_factory=dict)
     bigram: dict[tuple[bytes, bytes], float] = attr(default_factory=dict)
     heads: frozenset = frozenset()
+    stem: dict[bytes, float] = attr(default_factory=dict)
     slope: float = 1.0
     shift: float = 0.0
 
@@ -74,16 +78,17 @@ class Model:
         compares short and long texts alike; dividing by n would let one long clean passage hide an insult.
         """
         total, n, before = 0.0, 0, b""
-        word, bigram, heads = self.word.get, self.bigram.get, self.heads
+        word, bigram, heads, stem = self.word.get, self.bigram.get, self.heads, self.stem.get
         for part in pieces(text) if len(text) > PIECE_BYTES else (text,):
             ws = words(part)
             n += len(ws)
-            if not heads:
-                total += sum(map(word, ws, repeat(0.0)))
-                continue
             for w in ws:
                 r = bigram((before, w)) if before in heads else None
-                total += word(w, 0.0) if r is None else r
+                if r is None:
+                    r = word(w)
+                    if r is None:
+                        r = stem(w[:STEM], 0.0)
+                total += r
                 before = w
         return max(-MOST_RATIO, min(MOST_RATIO, total / n**0.5)) if n else 0.0
 
@@ -119,34 +124,35 @@ def _counts(docs: DataFrame, chosen: DataFrame, text: str, id_col: str) -> DataF
     return source.mapInArrow(run, schema).groupBy("y", "a", "b").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
-def _shared(docs: DataFrame, text: str, vocabulary: list[bytes]) -> tuple[np.ndarray, int]:
-    """How often all documents have each word of the (bounded) vocabulary, and how many words they have."""
+def _shared(docs: DataFrame, text: str, vocabulary: list[bytes], stems: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """How often all documents have each word and each stem of the (bounded) lists, and how many words they have."""
     sc = docs.sparkSession.sparkContext
-    known = sc.broadcast(vocabulary)
+    known = sc.broadcast((vocabulary, stems))
     bound_batches(docs.sparkSession)
 
     def run(batches):
-        place = {w: i for i, w in enumerate(known.value)}
-        count, total = np.zeros(len(place) + 1, np.int64), 0
-        get, none = place.get, len(place)
+        own, first = ({w: i for i, w in enumerate(x)} for x in known.value)
+        count, total = np.zeros(len(own) + len(first) + 1, np.int64), 0
+        word, stem, none = own.get, {w: len(own) + i for w, i in first.items()}.get, len(own) + len(first)
         for batch in batches:
             for step in text_steps(batch, "text"):
                 for t in as_bytes(step, "text"):
                     for part in pieces(t):
                         ws = words(part)
                         total += len(ws)
-                        count += np.bincount(np.fromiter((get(w, none) for w in ws), np.int64, len(ws)), minlength=none + 1)
+                        found = [i for w in ws for i in (word(w, none), stem(w[:STEM], none))]
+                        count += np.bincount(np.array(found, np.int64), minlength=none + 1)
         at = np.flatnonzero(count[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(count[at], total), pa.int64())], names=["i", "n"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()  # a row for each word of the vocabulary at most
-    out, total = np.zeros(len(vocabulary), np.int64), 0
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()  # a row for each entry of the lists at most
+    out, total = np.zeros(len(vocabulary) + len(stems), np.int64), 0
     for r in rows:
         if r.i < 0:
             total = r.n
         else:
             out[r.i] = r.n
-    return out, total
+    return out[: len(vocabulary)], out[len(vocabulary) :], total
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", bound: int = SAMPLE) -> Model:
@@ -169,6 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     by_word = counts.groupBy("b").agg(*sided(F.lit(1))).withColumn("a", F.lit(None).cast("binary")).withColumn("d", F.col("d0") + F.col("d1")).filter(F.col("d") >= LEAST)
     known = told(by_word.orderBy(F.desc("d"), "b").limit(MOST_WORDS).collect(), sums[1][0] / (sums[0][0] + sums[1][0]))
     vocabulary = sorted(bytes(r.b) for r in known)
+    by_stem = counts.groupBy(F.substring("b", 1, STEM).alias("b")).agg(*sided(F.lit(1))).withColumn("a", F.lit(None).cast("binary")).withColumn("d", F.col("d0") + F.col("d1")).filter(F.col("d") >= LEAST)
+    families = sorted(told(by_stem.orderBy(F.desc("d"), "b").limit(MOST_WORDS).collect(), sums[1][0] / (sums[0][0] + sums[1][0])), key=lambda r: bytes(r.b))
     rank = {w: i for i, w in enumerate(vocabulary)}
     spark = counts.sparkSession
     listed = lambda ws: F.broadcast(spark.createDataFrame([(w,) for w in sorted(ws)], "w binary"))
@@ -179,15 +187,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     for r in counts.join(listed({a for a, *_ in pairs}), F.col("a") == F.col("w")).groupBy("y", "a").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect():
         follow[r.y][bytes(r.a)] = (r.k, r.n)
 
-    shared, total = _shared(docs, text, vocabulary)
-    base = (shared + 1) / (total + len(vocabulary) + 1)
-    p = []
-    for y in (0, 1):
-        n = sums[y][0]
-        freed = 1 - np.maximum(types[y] - DISCOUNT, 0).sum() / n  # what discounts and all words without evidence leave to the shared counts
-        p.append(np.maximum(types[y] - DISCOUNT, 0) / n + freed * base)
-    word = np.log(p[1]) - np.log(p[0])
-    model = Model({w: float(x) for w, x in zip(vocabulary, word, strict=True) if abs(x) >= LEAST_RATIO})
+    shared, shared_stems, total = _shared(docs, text, vocabulary, [bytes(r.b) for r in families])
+
+    def probabilities(kinds: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
+        """Discounted continuation counts of either class, and what discounts and everything without evidence leave to
+        the shared counts."""
+        out = []
+        for y in (0, 1):
+            kept = np.maximum(kinds[y] - DISCOUNT, 0) / sums[y][0]
+            out.append(kept + (1 - kept.sum()) * base)
+        return out
+
+    p = probabilities(types, (shared + 1) / (total + len(vocabulary) + 1))
+    s = probabilities(np.array([[r.d0, r.d1] for r in families], float).reshape(-1, 2).T, (shared_stems + 1) / (total + len(families) + 1))
+    large = lambda names, q: {w: float(x) for w, x in zip(names, np.log(q[1]) - np.log(q[0]), strict=True) if abs(x) >= LEAST_RATIO}
+    model = Model(large(vocabulary, p), stem=large([bytes(r.b) for r in families], s))
     for a, b, *ns in pairs:
         q = []
         for y in (0, 1):
