@@ -99,7 +99,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     Rows with equal fingerprints form a class, so copies are never paired; classes within ``distance`` bits are linked,
     and ``component_id`` is the smallest id that links reach. Null texts count as empty; texts without words have
-    fingerprint zero and are linked like any other; repeated rows repeat in the result; a row with a null id keeps its
+    fingerprint zero and are linked like any other; repeated rows repeat in the result; different texts
+    under one id are one document, whose links join; a row with a null id keeps its
     fingerprint and gets the component of its class, unless no id is there to name it (then null); an empty table gives
     an empty result; other columns are ignored.
     """
