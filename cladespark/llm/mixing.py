@@ -128,15 +128,15 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     """
     p = plan(docs, text, id_col, source, **how).filter("words > 0")
     lists = p.groupBy("key", "chunk", "no", "row", "size", "mark").agg(F.collect_list(F.struct("shard", "place", "from", "words")).alias("cuts"))
-    lists = lists.groupBy("row", "key", "size", "mark").agg(F.sort_array(F.collect_list(F.struct(F.col("no"), "cuts"))).alias("all"))
+    lists = lists.groupBy(F.col("row").alias("__row2"), F.col("key").alias("__key2"), F.col("mark").alias("__mark2")).agg(F.sort_array(F.collect_list(F.struct(F.col("no"), "cuts"))).alias("__all"))
     keyed = docs.withColumn("__row", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))).withColumn("__mark", F.xxhash64(text))
     s = F.col(source).cast("string")
     keyed = keyed.withColumn("__key", F.coalesce(F.concat(F.lit("s"), s), F.lit("n")))
     # Rows that agree in id, source and text are told apart by their number; all else joins one to one.
     keyed = keyed.withColumn("__no", F.row_number().over(W.partitionBy("__row", "__mark", "__key").orderBy(F.lit(0))))
-    both = keyed.join(lists, (keyed["__row"] == lists["row"]) & (keyed["__mark"] == lists["mark"]) & (keyed["__key"] == lists["key"]))
+    both = keyed.join(lists, (F.col("__row") == F.col("__row2")) & (F.col("__mark") == F.col("__mark2")) & (F.col("__key") == F.col("__key2")))
     words = F.regexp_extract_all(F.col(text), F.lit(r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut = both.withColumn("__words", words).withColumn("__cut", F.explode(F.get("all", (F.col("__no") - 1).cast("int"))["cuts"]))
+    cut = both.withColumn("__words", words).withColumn("__cut", F.explode(F.get("__all", (F.col("__no") - 1).cast("int"))["cuts"]))
     piece = F.array_join(F.slice("__words", (F.col("__cut.from") + 1).cast("int"), F.col("__cut.words").cast("int")), "")
     out = cut.withColumn(text, piece)
     if chars in docs.columns:

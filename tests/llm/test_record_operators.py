@@ -132,6 +132,8 @@ def test_mixed_texts(spark):
     taken = Counter()
     for r in mixing.taken(df).collect():
         taken[r.doc_id] += r.taken
+    clashing = df.withColumns({c: F.lit(None).cast("long") for c in ("key", "row", "mark", "size", "no", "all", "block", "shard", "words", "take", "chunk", "target")})
+    assert mixing.mix(clashing).columns == clashing.columns and mixing.mix(clashing).count() == mixing.mix(df).count()
     out = mixing.mix(df)
     assert out.columns == df.columns
     words, texts = Counter(), {(i, s): t for i, s, t in rows}
