@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
             model.bigram[a, b] = ratio
     model.heads = frozenset(a for a, _ in model.bigram)
     outer = chosen.filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
-    rows = scores(docs.join(F.broadcast(outer.select(F.col("doc_id").alias(id_col), "y")), id_col), model, text, ["y"], raw=True).collect()  # bounded by the sample
+    rows = scores(docs.select(id_col, text).join(F.broadcast(outer.select(F.col("doc_id").alias(id_col), "y")), id_col), model, text, ["y"], raw=True).collect()  # bounded by the sample
     x, y = np.array([r.score for r in rows]), np.array([r.y for r in rows], float)
     if 0 < y.sum() < len(y):
         # The sample holds the classes in equal numbers; weights bring back their real proportion.

@@ -211,7 +211,7 @@ def toxic_corpus(n=400, seed=1):
 def test_toxicity_held_out(spark):
     docs, labels = toxic_corpus()
     extra = [(900, None), (901, ""), (902, "b1 b2 b3"), (903, "word " * 30_000), (None, "b1 p1")]
-    df = spark.createDataFrame([(i, t, 1) for i, t in docs + extra], "doc_id long, text string, toxic int")
+    df = spark.createDataFrame([(i, t, 1, 1, None) for i, t in docs + extra], "doc_id long, text string, toxic int, y int, score double")
     lab = spark.createDataFrame([*labels, (None, 1), (5, None), (6, 9)], "doc_id long, toxic int")
     rows = {r.doc_id: r for r in toxicity.toxicity(df, lab).collect()}
     import zlib
