@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..operators import alignment, splits
 from ..sources import adapters as A
-from .registry import query
+from .registry import ORACLES, query
 
 T, O, TR, TP, AL, C = A.TRACE_SQL, A.OBS_SQL, A.TREES_SQL, A.TOPOLOGY_SQL, A.ALIGNMENT_SQL, A.COUNTERS_SQL
 
@@ -36,7 +36,6 @@ _trace_agg(
     "a5_skewness", lambda: [stats.skewness("value").alias("skewness")],
     "round((sum(power(value - m, 3)) / count(*)) / power(sum(power(value - m, 2)) / (count(*) - 1), 1.5), 6) as skewness",
 )
-from .registry import ORACLES  # noqa: E402
 
 ORACLES["a5_skewness"] = f"""with {T}, c as (select *, avg(value) over (partition by param) as m from trace)
 select param, round((sum(power(value - m, 3)) / count(*)) / power(sum(power(value - m, 2)) / (count(*) - 1), 1.5), 6) as skewness from c group by param"""
