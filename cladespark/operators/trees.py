@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -270,6 +273,68 @@ def parse_newick(text: str, names: dict[str, int] | None = None, n: int | None =
     return tree
 
 
+_PIECE = re.compile(r"[(),;]|:[^(),;]*|[^(),:;]+")
+_NOTE = re.compile(r"\[[^\]]*\]|\s")
+
+
+def newick_splits(text: str, trivial: bool = False) -> list[tuple[int, float]]:
+    """Splits of a tree with numbered taxa as bit masks (taxon t is bit t - 1) with lengths, in one pass over the text
+    and without building the tree. The sides and the demands on the text are those of ``parse_newick``."""
+    found: list[tuple[int, float]] = []
+    groups: list[list[int]] = []  # mask and number of members of the open groups
+    mask, length, done = 0, math.nan, False
+    for t in _PIECE.findall(_NOTE.sub("", text)):
+        c = t[0]
+        if c == "(":
+            groups.append([0, 0])
+        elif c == ":":
+            length = float(t[1:])
+        elif c in ",)":
+            if not mask:
+                raise ValueError("an empty member")
+            found.append((mask, length))
+            top = groups[-1]
+            if top[0] & mask:
+                raise ValueError("a taxon stands twice")
+            top[0] |= mask
+            top[1] += 1
+            mask, length = 0, math.nan
+            if c == ")":
+                mask, members = groups.pop()
+                if members != (2 if groups else 3):
+                    raise ValueError(f"a group of {members}")
+        elif c == ";":
+            done = True
+            break
+        elif not mask:
+            mask = 1 << (int(t) - 1)
+    if groups or not done:
+        raise ValueError("the text ends within a tree")
+    n = mask.bit_count()
+    full = (1 << n) - 1
+    if mask != full:
+        raise ValueError("taxa are not 1 to n")
+    out = []
+    for side, x in found:
+        if side & 1 and side != 1:
+            side ^= full
+        elif side == full ^ 1:
+            side = 1
+        if trivial or 1 < side.bit_count() < n - 1:
+            out.append((side, x))
+    return out
+
+
+def members(mask: int) -> list[int]:
+    """Taxa of a mask, in order."""
+    out = []
+    while mask:
+        low = mask & -mask
+        out.append(low.bit_length())
+        mask ^= low
+    return out
+
+
 def edges_of(tree: Tree, root: int | None = None) -> list[tuple[int, int, float, bool, int]]:
     """``(parent, child, length, is_tip, depth)`` from the outermost node down."""
     root = root or next(iter(tree.adj[1]))
@@ -282,13 +347,23 @@ def splits_table(trees: DataFrame, newick: str = "newick", keys: tuple[str, ...]
     what is parsed cannot be skipped later; without ``with_length`` the column is left out."""
     kinds = ", ".join(f"`{k}` {trees.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(*k, sorted(s), x) for *k, text in pdf.itertuples(index=False) if text for s, x in parse_newick(text).splits(trivial).items()]
-            out = pd.DataFrame(rows, columns=[*keys, "split", "length"])
-            yield out if with_length else out.drop(columns="length")
-
-    return trees.select(*keys, newick).mapInPandas(run, f"{kinds}, split array<int>" + ", length double" * with_length)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[int]] = {}
+        for batch in batches:
+            row, sides, lengths = [], [], []
+            for i, text in enumerate(batch.column(newick).to_pylist()):
+                for mask, x in newick_splits(text, trivial) if text else ():
+                    if mask not in known:
+                        if len(known) >= 100_000:
+                            known.clear()
+                        known[mask] = members(mask)
+                    row.append(i)
+                    sides.append(known[mask])
+                    lengths.append(x)
+            cols = [batch.column(k).take(pa.array(row, pa.int64())) for k in keys] + [pa.array(sides, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(lengths, pa.float64())] * with_length, names=[*keys, "split", *["length"] * with_length])
+
+    return trees.select(*keys, newick).mapInArrow(run, f"{kinds}, split array<int>" + ", length double" * with_length)
 
 
 def edges_table(trees: DataFrame, newick: str = "newick", keys: tuple[str, ...] = ("file_id", "tree_id")) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from cladespark.functions.density import generator
 from cladespark.operators import consensus
-from cladespark.operators.trees import Tree, edges_of, parse_newick, random_tree, splits_table, ultrametric_ages
+from cladespark.operators.trees import Tree, edges_of, members, newick_splits, parse_newick, random_tree, splits_table, ultrametric_ages
 
 
 def test_five_taxa():
@@ -19,8 +19,9 @@ def test_five_taxa():
 
 @pytest.mark.parametrize("text", ["((1,2),3);", "((1,2,3),4,5);", "((1,2),3,4)", "((1,),3,4);", "(1,2,9);"])
 def test_refused(text):
-    with pytest.raises((ValueError, IndexError)):
-        parse_newick(text)
+    for parse in (parse_newick, newick_splits):
+        with pytest.raises((ValueError, IndexError)):
+            parse(text)
 
 
 def test_names_and_missing_lengths():
@@ -41,6 +42,9 @@ def test_invariants(n, seed):
     assert set(again.splits(True)) == set(t.splits(True))
     for side, x in t.splits(True).items():
         assert again.splits(True)[side] == pytest.approx(x)
+    for trivial in (False, True):
+        fast = {frozenset(members(m)): x for m, x in newick_splits(t.newick(), trivial)}
+        assert set(fast) == set(t.splits(trivial)) and all(fast[s] == pytest.approx(x) for s, x in t.splits(trivial).items())
     for a, b in itertools.combinations(t.splits(), 2):
         assert consensus.fits(a, b)
 
