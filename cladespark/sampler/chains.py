@@ -89,6 +89,16 @@ def sample_body(chain: Chain) -> str:
     return json.dumps({"newick": s.tree.newick(), "TL": s.tree.total_length(), "alpha": s.alpha, "pi": list(s.freqs), "r": list(s.rates), "matrix": s.matrix})
 
 
+def swaps(seed: int, run_id: int, gen: int, n: int, mean: float) -> list[tuple[int, int, float]]:
+    """The swaps to try after a generation: two of ``n`` chains without replacement, and the logarithm of a uniform draw.
+    Their number is binomial with that mean, of 2 * n * mean trials; all depends on seed, run and generation alone."""
+    if n < 2 or mean <= 0:
+        return []
+    rng = generator(seed, run_id, 1 << 20, gen)
+    trials = int(np.ceil(2 * n * mean))
+    return [(*(int(k) for k in rng.choice(n, 2, replace=False)), float(np.log(rng.random()))) for _ in range(rng.binomial(trials, mean / trials))]
+
+
 @dataclass
 class Sampler:
     """A sampling job. ``data`` is the compressed alignment, small beside the work done on it, and goes with the closure."""
@@ -130,43 +140,30 @@ class Sampler:
         return self.spark.createDataFrame(rows, SCHEMA)
 
     def advance(self, states: DataFrame, gens: int) -> DataFrame:
-        """Each chain ``gens`` generations on: its new state, and a sample whenever it is cold and due."""
+        """The chains of each run ``gens`` generations on: their new states, and a sample whenever the cold one is due.
+
+        Coupled chains wait for each other at every generation that has a swap, one in most generations, so a run is
+        one task. In each generation every chain steps and is sampled, then all drawn swaps are tried in turn.
+        """
         data, config, seed = self.data, self.config, self.seed
         mixture = config.proposals.mixture(set(self.available))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            row = pdf.iloc[0]
-            chain = Chain.load(row)
-            beta = 1 / (1 + config.run.heatFactor * chain.heat_ix)
+            run_id = int(pdf.run_id.iloc[0])
+            chains = {int(row.chain_id): Chain.load(row) for _, row in pdf.sort_values("chain_id").iterrows()}
+            beta = lambda chain: 1 / (1 + config.run.heatFactor * chain.heat_ix)
             out = []
             for _ in range(gens):
-                step(chain, data, mixture, config.proposals, generator(seed, int(row.run_id), int(row.chain_id), chain.gen + 1), beta, config.run.tuneFreq)
-                if chain.heat_ix == 0 and chain.gen % config.run.samplingFreq == 0:
-                    out.append(("sample", chain.gen, 0, chain.lnl, chain.lnpr, chain.best, sample_body(chain)))
-            out.append(("state", chain.gen, chain.heat_ix, chain.lnl, chain.lnpr, chain.best, chain.dump()))
-            return pd.DataFrame([(row.run_id, row.chain_id, *o) for o in out], columns=[f.split()[0] for f in SCHEMA.split(", ")])
-
-        return states.groupBy("run_id", "chain_id").applyInPandas(run, SCHEMA)
-
-    def swap(self, states: DataFrame, at: int, gens: int) -> DataFrame:
-        """Chains of a run exchange heats. The number of attempts is binomial with mean numSwapsPerGen for each
-        generation, pairs are drawn without replacement, and the outcome depends on seed, run and generation alone."""
-        config, seed = self.config, self.seed
-        n = config.run.numCoupledChains
-        if n < 2:
-            return states
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            rng = generator(seed, int(pdf.run_id.iloc[0]), 1 << 20, at)
-            pdf = pdf.sort_values("chain_id").reset_index(drop=True)
-            attempts = int(rng.binomial(2 * n * gens, min(1.0, config.run.numSwapsPerGen / (2 * n))))
-            post = pdf.lnl + pdf.lnpr
-            for _ in range(min(attempts, 8 * n)):
-                i, j = rng.choice(n, 2, replace=False)
-                bi, bj = (1 / (1 + config.run.heatFactor * pdf.heat_ix[k]) for k in (i, j))
-                if np.log(rng.random()) < (bi - bj) * (post[j] - post[i]):
-                    pdf.loc[[i, j], "heat_ix"] = pdf.heat_ix[[j, i]].to_numpy()
-            return pdf
+                for k, chain in chains.items():
+                    step(chain, data, mixture, config.proposals, generator(seed, run_id, k, chain.gen + 1), beta(chain), config.run.tuneFreq)
+                    if chain.heat_ix == 0 and chain.gen % config.run.samplingFreq == 0:
+                        out.append((run_id, k, "sample", chain.gen, 0, chain.lnl, chain.lnpr, chain.best, sample_body(chain)))
+                for i, j, log_u in swaps(seed, run_id, chain.gen, len(chains), config.run.numSwapsPerGen):
+                    a, b = chains[i], chains[j]
+                    if log_u < (beta(a) - beta(b)) * (b.lnl + b.lnpr - a.lnl - a.lnpr):
+                        a.heat_ix, b.heat_ix = b.heat_ix, a.heat_ix
+            out += [(run_id, k, "state", c.gen, c.heat_ix, c.lnl, c.lnpr, c.best, c.dump()) for k, c in chains.items()]
+            return pd.DataFrame(out, columns=[f.split()[0] for f in SCHEMA.split(", ")])
 
         return states.groupBy("run_id").applyInPandas(run, SCHEMA)
 
@@ -182,7 +179,7 @@ class Sampler:
         since = 0
         while done < goal:
             gens = min(batch, goal - done)
-            table = self.advance(self.swap(table.filter("kind = 'state'"), done, gens), gens).checkpoint()
+            table = self.advance(table.filter("kind = 'state'"), gens).checkpoint()
             done += gens
             since += gens
             fresh = table.filter("kind = 'sample'")

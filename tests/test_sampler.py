@@ -131,6 +131,19 @@ def test_coupled_run(spark, tmp_path):
     assert len(report) == 1 and report[0].trees == 18 and report[0].asdsf == pytest.approx(batch.asdsf)
 
 
+def test_every_swap_is_tried_in_its_generation(spark):
+    """With one swap a generation as many are drawn as there are generations, and batches change nothing."""
+    for n, mean in ((2, 1.0), (4, 1.0), (3, 2.5), (2, 0.1)):
+        drawn = [chains.swaps(3, 0, g, n, mean) for g in range(4000)]
+        assert sum(map(len, drawn)) == pytest.approx(4000 * mean, rel=0.15)
+        assert all(i != j and 0 <= min(i, j) and max(i, j) < n and u <= 0 for d in drawn for i, j, u in d)
+    assert chains.swaps(3, 0, 1, 1, 1.0) == []
+    d = proposals.Data(None, None, 4, {"brlens": density.Exponential(10.0)})
+    c = config.parse("begin run; numRuns 2; numCoupledChains 3; samplingFreq 5; end; begin proposals; likeSPR 0; parsimonySPR 0; blDistGamma 0; end;")
+    a, b = (chains.Sampler(spark, d, c, 5, seed=3, available=frozenset({"topology", "brlens"})).run(60, batch=k).orderBy("run_id", "gen").collect() for k in (60, 20))
+    assert a == b and len(a) == 26
+
+
 def test_fixed_matrix_model():
     d = data()
     s = proposals.State(random_tree(6, density.generator(8)), matrix="b")
