@@ -80,6 +80,8 @@ class Proposals:
                 raise ValueError(f"{name} must be in (0, 1]")
         if not 0 <= self.moveOptMode <= 4:
             raise ValueError("moveOptMode is 0 to 4")
+        if self.moveOptMode:
+            raise NotImplementedError("moveOptMode other than 0 is not built")
 
     def mixture(self, available: set[str]) -> dict[str, float]:
         """Weights of the proposals of the available categories."""

@@ -49,6 +49,13 @@ def test_refused(text):
         config.parse("begin proposals; divTimeDirich 1; end;")
 
 
+@pytest.mark.parametrize("mode", [1, 2, 3, 4])
+def test_joint_branch_moves_are_refused(mode):
+    assert config.parse("begin proposals; moveOptMode 0; end;", 2).proposals.moveOptMode == 0
+    with pytest.raises(NotImplementedError):
+        config.parse(f"begin proposals; moveOptMode {mode}; end;", 2)
+
+
 def data(n=6, sites=30, seed=3):
     rng = density.generator(seed)
     return proposals.Data(rng.choice([1, 2, 4, 8], (sites, n)), np.ones(sites), 4, {"brlens": density.Exponential(10.0), "ratehet": density.Uniform(0.02, 100.0), "statefreq": density.Dirichlet((1.0,) * 4), "revmat": density.Dirichlet((1.0,) * 6)}, {"a": (np.full(6, 1 / 6), np.full(4, 0.25)), "b": (np.arange(1.0, 7.0), np.array([0.1, 0.2, 0.3, 0.4]))})
