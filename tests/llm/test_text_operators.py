@@ -113,6 +113,35 @@ def test_contamination_in_passes(spark, monkeypatch):
     assert decontam.drop_contaminated(df, bench).count() == 0
 
 
+def test_items_with_repeated_shingles():
+    """Refrains in the window or the item sway a fingerprint of plain shingles, but not the weighted similarity."""
+    rng = random.Random(4)
+    some = lambda n: ["v%d" % rng.randrange(10**9) for _ in range(n)]
+    pairs = []
+    for k in range(40):
+        body, la = some(104), ["la"] * 16
+        pairs.append((k, body, body[:93] + ["la"] * 11))
+        pairs.append((100 + k, body + la, body + ["la"] * 5 + some(11)))
+        pairs.append((200 + k, body + la, body + ["la"] * 5))
+        pairs.append((300 + k, some(9) + body + la, body[:50] + la * 2 + body[50:]))
+        pairs.append((400 + k, la * 3 + body, some(30) + la * 3 + body[:90] + some(40)))
+    seen = 0
+    for k, item, text in pairs:
+        item, text = " ".join(item), " ".join(text)
+        want = slow_hits(text, [(k, item)])
+        assert {h[0] for h in decontam.Index([(k, item.encode())]).hits(text.encode())} == want
+        seen += len(want)
+    assert 60 < seen < 180
+
+
+def test_window_votes():
+    rng = np.random.default_rng(3)
+    for n, wide in ((1, 1), (30, 7), (30, 30), (60, 25)):
+        g = rng.choice(rng.integers(0, 1 << 63, max(1, n // 6)).astype(np.uint64), n)
+        for s, votes in enumerate(decontam.window_votes(g, wide)):
+            assert (votes == decontam.window_votes(g[s : s + wide], wide)[0]).all()
+
+
 # Secrets.
 
 
