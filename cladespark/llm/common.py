@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,18 +25,51 @@ MASK = (1 << 64) - 1
 _GRAM = 0x9E3779B97F4A7C15
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new folder beside the checkpoints, in the folder that all machines share."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _checkpoint_dir(spark: SparkSession) -> None:
+    """Have a checkpoint folder: the session's, or a temporary one where no other machine takes part, as in tests."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clade-ckpt-"))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a local
-    temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and all runs in one process, as in
+    tests, a local temporary folder is used. On a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clade-ckpt-"))
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: A key with over one in so many rows is hot. There are fewer hot keys than this, however the rows are dealt.
+HOT_SHARE = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has a row for each ``key`` and in ``weight`` the number of rows
+    that ``left`` has of it.
+
+    Keys with over a thousandth of all rows are fewer than a thousand, so these rows of ``right`` are broadcast; all other
+    keys meet in a shuffle, where none is large. ``left`` is read twice and should be durable or cheap. The column
+    ``weight`` does not come with the result, unless ``left`` has one of that name.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.filter(F.col(weight) * HOT_SHARE > total).drop(weight)
+    cold = right.filter(F.col(weight) * HOT_SHARE <= total).drop(weight)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return left.join(F.broadcast(hot), key).select(rest.columns).union(rest)
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small enough for long texts; a smaller setting of the user stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, hot_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,3 +40,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def members(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(doc_id, node, component_id)`` for each of the durable ``rows`` (doc_id, node): the smallest id that the
+    pairs ``(a, b)`` of nodes reach, and null where no row of a component has an id.
+
+    Different nodes under one id are one document, whose pairs join. All steps but the last see a row for each node;
+    the last joins nodes that hold many rows by broadcast.
+    """
+    per = durable(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    ids = rows.filter("doc_id is not null").select("doc_id", "node")
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
+    same = ids.join(several, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+    of = components(pairs.union(same))
+    placed = durable(per.join(of, "node", "left").select("node", "least", "n", F.coalesce("component", "node").alias("c")))
+    named = placed.groupBy("c").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    by_node = durable(hot_join(placed, named, "c", "k").select("node", "component_id", "n"))
+    return hot_join(rows, by_node, "node", "n").select("doc_id", "node", "component_id")

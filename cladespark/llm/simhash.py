@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PIECE_BYTES, arrow_pass, durable, field, pieces
-from .graph import components
+from .graph import members
 
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 15
@@ -49,49 +49,49 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wo
     return arrow_pass(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", [field("fp", "long")], run)
 
 
-def block_masks(distance: int, spare: int = 2) -> list[int]:
-    """Masks of the block keys.
+def block_masks(distance: int, spare: int = 2, mask: int = 0) -> list[int]:
+    """Masks of block keys, as signed longs; each holds the bits of ``mask`` and some more.
 
-    64 bits in ``distance + spare`` blocks; a key takes ``spare`` of them. Two fingerprints that differ in at most
-    ``distance`` bits leave at least ``spare`` blocks untouched, so they agree on one key.
+    The bits that ``mask`` leaves are dealt into ``distance + spare`` blocks, and a key takes ``spare`` of them. Two
+    fingerprints that differ in at most ``distance`` bits, none in ``mask``, leave at least ``spare`` blocks untouched,
+    so they agree on one key.
     """
     n = distance + spare
-    cuts = [round(64 * i / n) for i in range(n + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    masks = [sum(c) for c in combinations(parts, spare)]
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [round(len(free) * i / n) for i in range(n + 1)]
+    parts = [sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+    masks = [mask & (1 << 64) - 1 | sum(c) for c in combinations(parts, spare)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(classes: DataFrame, distance: int = 2, spare: int = 2, bucket: int = 64) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes that join all fingerprints within ``distance`` bits into their components.
+def links(fingerprints: DataFrame, distance: int = 2, spare: int = 2, bucket: int = 64) -> DataFrame:
+    """All pairs ``(a, b)``, ``a < b``, of the distinct fingerprints ``fp`` that differ in at most ``distance`` bits.
 
-    ``classes`` has distinct ``fp`` and a long ``node``. Fingerprints meet in the buckets of their block keys. In a
-    bucket of at most ``bucket`` members each close pair is found by a self join and verified. Larger buckets would
-    make a square of pairs; their members are linked exactly and in linear space instead: two values differ in at most
-    two bits just if some value is within one bit of both, so each emits its 65 neighbours and all that share one link
-    to its smallest node (distance 1 and 2 only; others verify within their bucket at any size).
+    Fingerprints meet in the buckets of their block keys, and members of a bucket are verified pair by pair. A bucket
+    of over ``bucket`` members is not paired but split: its members agree on the key's bits, so the other bits are
+    dealt into blocks again by the same pigeonhole rule, and so on, until buckets are small or no bits are left to
+    deal (a bucket with r bits left has at most 2^r members). Each level is one aggregation and two equi-joins.
     """
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(distance, spare))])
-    rows = classes.select("fp", "node", F.explode(keys).alias("k")).select("fp", "node", "k.block", "k.key")
-    sizes = rows.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = durable(rows.join(sizes, ["block", "key"]))
-    split = distance in (1, 2)
-    small = shared.filter(F.col("n") <= bucket) if split else shared
-    x, y = small.alias("x"), small.alias("y")
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
-    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    if not split:
-        return pairs.distinct()
-    large = shared.filter(F.col("n") > bucket).select("fp", "node").distinct()
-    reach = distance - 1  # bits that a neighbour may differ in; with distance 1 the fingerprint and its neighbours meet as well
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    around = large.select("fp", "node", F.explode(F.concat(F.array("fp"), flips)).alias("mid"))
-    if reach < 1:  # a pair within one bit: one of the two is the other's neighbour
-        around = around.join(large.select(F.col("fp").alias("mid"), F.col("node").alias("to")), "mid")
-        return pairs.union(around.filter("to < node").select(F.col("to").alias("a"), F.col("node").alias("b"))).distinct()
-    centre = around.groupBy("mid").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mid", "a")
-    stars = around.join(centre, "mid").filter("a < node").select("a", F.col("node").alias("b"))
-    return pairs.union(stars.distinct()).distinct()
+    rows = fingerprints.select("fp", F.explode(F.array(*[F.lit(m) for m in block_masks(distance, spare)])).alias("mask"))
+    masks, found = block_masks(distance, spare), None
+    while True:
+        keyed = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = durable(keyed.join(sizes, ["mask", "key"]))
+        splits = 64 - (masks[0] & (1 << 64) - 1).bit_count() > distance + spare
+        small = shared.filter(F.col("n") <= bucket) if splits else shared
+        x, y = small.alias("x"), small.alias("y")
+        near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
+        pairs = x.join(y, (F.col("x.mask") == F.col("y.mask")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        found = pairs if found is None else found.union(pairs)
+        large = shared.filter(F.col("n") > bucket)
+        if not splits or large.isEmpty():
+            return found.distinct()
+        below = {m: block_masks(distance, spare, m) for m in masks}
+        masks = sorted({c for cs in below.values() for c in cs})
+        # One row for each mask and its parts: 36 at the first split, six times as many at each other.
+        table = fingerprints.sparkSession.createDataFrame([(m, c) for m, cs in below.items() for c in cs], "mask long, child long")
+        rows = large.join(F.broadcast(table), "mask").select("fp", F.col("child").alias("mask")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, distance: int = 2) -> DataFrame:
@@ -100,16 +100,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     Rows with equal fingerprints form a class, so copies are never paired; classes within ``distance`` bits are linked,
     and ``component_id`` is the smallest id that links reach. Null texts count as empty; texts without words have
     fingerprint zero and are linked like any other; repeated rows repeat in the result; different texts
-    under one id are one document, whose links join; a row with a null id keeps its
-    fingerprint and gets the component of its class, unless no id is there to name it (then null); an empty table gives
-    an empty result; other columns are ignored.
+    under one id are one document, whose links join; a row with a null id links like any other and
+    gets the component of its class, unless no id is there to name it (then null); an empty table gives
+    an empty result; other columns are ignored. Ids may be of any type that has an order.
     """
     fps = durable(fingerprints(docs, text, id_col, words))
-    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    named = classes.filter("node is not null")
-    of = components(links(named, distance)).select(F.col("node"), F.col("component"))
-    by_fp = classes.join(of, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = members(fps.select("doc_id", F.col("fp").alias("node")), links(fps.select("fp").distinct(), distance))
+    return of.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

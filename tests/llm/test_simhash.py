@@ -90,8 +90,9 @@ def test_links_match_all_pairs(spark, distance, bucket):
     rng = np.random.default_rng(distance)
     base = rng.integers(0, 2**63, 8)
     fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 4), replace=False)) for b in base for _ in range(12)})
-    df = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long")
-    got = {r.node: r.component for r in graph.components(simhash.links(df, distance, bucket=bucket)).collect()}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    place = {f: i for i, f in enumerate(fps)}
+    got = {place[r.node]: place[r.component] for r in graph.components(simhash.links(df, distance, bucket=bucket)).collect()}
     import itertools
 
     label = list(range(len(fps)))
