@@ -62,10 +62,32 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
+def layout_of(paths) -> Layout | None:
+    """The layout of a shape: the one with its fingerprint, else the largest one (the first of equals) whose paths the
+    shape holds, whatever other known paths it has besides."""
+    paths = {*paths}
+    held = [x for x in LAYOUTS if paths >= {*x.paths}]
+    return BY_FINGERPRINT.get(fingerprint(paths)) or max(held, key=lambda x: len(x.paths), default=None)
+
+
+def _has(record: Column, path: str) -> Column:
+    """Whether a VARIANT record has a key, be its value null; of a list, whether some element has it."""
+    outer, _, inner = path.partition("[].")
+    value = F.try_variant_get(record, "$." + outer, "variant")
+    if not inner:
+        return value.isNotNull()
+    return F.coalesce(F.exists(F.try_variant_get(record, "$." + outer, "array<variant>"), lambda x: F.try_variant_get(x, "$." + inner, "variant").isNotNull()), F.lit(False))
+
+
 def record_fingerprint(record: Column) -> Column:
-    """The same hash for a VARIANT record, from the known paths that it has values at."""
-    has = [F.when(F.try_variant_get(record, "$." + p.replace("[].", "[0]."), "string").isNotNull(), F.lit(p)) for p in VOCABULARY]
-    return F.md5(F.concat_ws("\n", *has).cast("binary"))
+    """The same hash for a VARIANT record, from the known paths that it has, in whatever element of a list."""
+    return F.md5(F.concat_ws("\n", *[F.when(_has(record, p), F.lit(p)) for p in VOCABULARY]).cast("binary"))
+
+
+def _said(value: Column) -> Column:
+    """The text of a VARIANT value: a string, the texts of a list of content parts one after another, else its JSON."""
+    part = lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")), F.lit(""))
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.array_join(F.transform(F.try_variant_get(value, "$", "array<variant>"), part), "")).otherwise(F.try_variant_get(value, "$", "string"))
 
 
 def _named(role: Column, names: dict[str, str]) -> Column:
@@ -100,33 +122,44 @@ def _turns(layout: Layout, get, items) -> Column:
 def canonical_records(records: DataFrame, json: str, id_col: str = "conv_id") -> DataFrame:
     """``(conv_id, layout, turn, role, text)`` of JSON records of any known shape, each by its own fingerprint.
 
-    Records of no known shape, broken JSON and null give a row with a null layout and turn, so that none is lost.
+    A shape with other known paths besides those of a layout has the largest layout that it holds. Null or missing
+    roles and texts are empty; a content that is a list of parts is its texts, one after another; an element of a list
+    that is no object is a turn without role and text. Records of no known shape (as one whose list of turns
+    is empty), broken JSON and null give a row with a null layout and turn, so that none is lost.
     """
     v = records.select(F.col(id_col).alias("conv_id"), F.try_parse_json(F.col(json)).alias("v")).withColumn("fp", record_fingerprint(F.col("v")))
     get = lambda p: F.try_variant_get("v", f"$.{p}", "string")
-    items = lambda path, role, text: F.try_variant_get("v", f"$.{path}", f"array<struct<`{role}` string, `{text}` string>>")
-    known = [(h, x) for h, x in BY_FINGERPRINT.items() if not x.rows]
-    turns, name = F.lit(None), F.lit(None)
-    for h, x in known:
-        turns = F.when(F.col("fp") == h, _turns(x, get, items)).otherwise(turns)
-        name = F.when(F.col("fp") == h, F.lit(x.name)).otherwise(name)
-    return v.select("conv_id", name.cast("string").alias("layout"), F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", "layout", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
+    field_of = lambda x, key: F.try_variant_get(x, f"$.{key}", "variant")
+    items = lambda path, role, text: F.transform(F.try_variant_get("v", f"$.{path}", "array<variant>"), lambda x: F.struct(F.try_variant_get(x, f"$.{role}", "string").alias(role), _said(field_of(x, text)).alias(text)))
+    known = [x for x in LAYOUTS if not x.rows]
+    holds = lambda x: F.col("fp").isNotNull() & F.forall(F.array(*[_has(F.col("v"), p) for p in x.paths]), lambda b: b)
+    which = F.lit(None).cast("string")
+    for x in sorted(known, key=lambda x: len(x.paths)):
+        which = F.when(holds(x), F.lit(x.name)).otherwise(which)
+    for x in known:
+        which = F.when(F.col("fp") == fingerprint(x.paths), F.lit(x.name)).otherwise(which)
+    v = v.withColumn("layout", which)
+    turns = F.lit(None)
+    for x in known:
+        turns = F.when(F.col("layout") == x.name, _turns(x, get, items)).otherwise(turns)
+    return v.select("conv_id", "layout", F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", "layout", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
 
 
 def canonical(table: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """``(conv_id, layout, turn, role, text)`` of a table, by the fingerprint of its schema.
 
-    Columns that no layout knows do not matter. A table of an unknown shape is refused.
+    Columns that no layout knows do not matter, and a table with known ones besides a layout's has the largest layout
+    that it holds. A table of an unknown shape is refused. Ids may be of any type.
     """
     paths = schema_paths(table.schema)
-    layout = BY_FINGERPRINT.get(fingerprint(paths)) or BY_FINGERPRINT.get(fingerprint({*paths} - {id_col}))
+    layout = BY_FINGERPRINT.get(fingerprint(paths)) or layout_of({*paths} - {id_col}) or layout_of(paths)
     if layout is None:
         raise ValueError(f"no layout for the paths {sorted({*paths} & {*VOCABULARY})}")
     if layout.rows:
         conv, turn, role, text = layout.rows
-        return table.select(F.col(conv).cast("long").alias("conv_id"), F.lit(layout.name).alias("layout"), F.col(turn).cast("long").alias("turn"), _named(F.col(role), layout.roles).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        return table.select(F.col(conv).alias("conv_id"), F.lit(layout.name).alias("layout"), F.col(turn).cast("long").alias("turn"), _named(F.col(role), layout.roles).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     turns = _turns(layout, F.col, lambda path, *_: F.col(path))
-    return table.select(F.col(id_col).cast("long").alias("conv_id"), F.lit(layout.name).alias("layout"), F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", "layout", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+    return table.select(F.col(id_col).alias("conv_id"), F.lit(layout.name).alias("layout"), F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", "layout", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
 #: The template's control strings, fixed values; texts may hold them, and get a backslash more inside each.
