@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 
 from .common import WORD, durable
 
-#: Words of a block.
-BLOCK = 128
+#: Words of a block, so that most documents lie in one or two.
+BLOCK = 1024
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Words of the mix as a multiple of all words, and at most of a source's.
 SHARE, MOST = 1.5, 2
-#: Words of an output shard on average.
-SHARD_WORDS = 1 << 20
+#: Slots (blocks) of an output shard.
+SHARD_SLOTS = 1024
 #: Parts of a source whose sums of sizes are carried on, so that no source is scanned by one task.
 CHUNKS = 4096
 #: Slots of a source that one row of the draw stands for.
 DRAW = 8192
-#: Multipliers of the index permutations: the primes just under 2^26, a fixed list.
-PRIMES = (67108859, 67108837, 67108819, 67108777, 67108763, 67108757, 67108753, 67108747)
+#: Rounds of a permutation.
+ROUNDS = 24
 
 
 def n_words(text: Column) -> Column:
@@ -29,10 +29,13 @@ def n_words(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
-    """Narrow rows ``(key, source, doc_id, row, size, chunk)``; ``row`` tells rows apart by id or else by text."""
+    """Narrow rows ``(key, source, doc_id, row, mark, size, chunk)``; ``row`` and ``mark`` tell rows apart by id and text.
+    Rows without an id, which may be many copies of one text, are dealt over the chunks by their place in the table."""
     s = F.col(source).cast("string")
-    row = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))
-    return docs.select(F.coalesce(F.concat(F.lit("s"), s), F.lit("n")).alias("key"), s.alias("source"), F.col(id_col).alias("doc_id"), row.alias("row"), F.xxhash64(text).alias("mark"), n_words(F.col(text)).alias("size")).withColumn("chunk", F.pmod(F.xxhash64("row", "size"), F.lit(CHUNKS)))
+    row, mark = F.xxhash64(F.col(id_col)), F.xxhash64(text)
+    spread = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    chunk = F.pmod(F.xxhash64(row, mark, spread), F.lit(CHUNKS))
+    return docs.select(F.coalesce(F.concat(F.lit("s"), s), F.lit("n")).alias("key"), s.alias("source"), F.col(id_col).alias("doc_id"), row.alias("row"), mark.alias("mark"), n_words(F.col(text)).alias("size"), chunk.alias("chunk"))
 
 
 def targets(chunks: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -40,7 +43,7 @@ def targets(chunks: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
 
     Weights go round the sources by code point, null last. Filling to one level per weight gives what resharing the
     excess over ``most`` times a source's size comes to: sources ordered by cap over weight fill up first, and all
-    others get the rest by weight. The windows hold one row per source, not per document.
+    others get the rest by weight. The windows hold one row per source, not per document, and are one task's work.
     """
     sums = chunks.groupBy("key").agg(F.first("source").alias("source"), F.sum("part").alias("source_size"))
     every = W.partitionBy(F.lit(0))
@@ -57,39 +60,59 @@ def targets(chunks: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return base.withColumn("level", level).select("key", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * F.col("level.left") / F.col("level.rest")).alias("target"))
 
 
-def slots(sources: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
+def permuted(x: Column, n: Column, *keys: Column, back: bool = False) -> Column:
+    """Where a pseudorandom permutation of 0 to ``n`` - 1, chosen by ``keys``, takes ``x``; or with ``back`` what it takes there.
+
+    A swap-or-not shuffle: each round draws a pivot, pairs every number with the pivot less it (mod n), and a bit drawn for
+    the pair says whether the two change places. So every round is a permutation of exactly these numbers whatever n is
+    and its own inverse, and nothing grows beyond 2 n.
+    """
+
+    def turn(at: Column, r: Column) -> Column:
+        pivot = F.pmod(F.xxhash64(*keys, r), n)
+        other = F.pmod(pivot + n - at, n)
+        return F.when(F.xxhash64(*keys, r, F.greatest(at, other), pivot).bitwiseAND(F.lit(1).cast("long")) == 1, other).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(ROUNDS), F.lit(1)) if back else F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), turn)
+
+
+def slots(sources: DataFrame, seed: int = 0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``(key, block, shard, place, take)``: a row for each block that the mix takes, each time that it takes it.
 
-    A source has as many slots as its target needs. Every slot draws its shard by a hash, so the counts of a source over
-    the shards are multinomial, and so are those of the sources within a shard, given that the totals meet the targets.
-    The counts give each shard a range of the source's slots; a slot's number runs through one permutation of the
-    block indices after another, and the last slot takes as many words as are still wanted.
+    A source has as many slots as its target needs. All slots of all sources are numbered, one permutation deals the numbers
+    out, and each ``shard_slots`` of them in the new order are an output shard. So shards are of one size, and how many
+    slots of each source a shard has is a multinomial draw by the targets, given that the totals meet them (that is,
+    without replacement). Within a source a slot's number runs through one permutation of the block indices after another,
+    and the last slot takes as many words as are still wanted, so a source's words are its target, rounded.
     """
     size, target = F.col("source_size"), F.col("target")
-    plan = sources.filter("source_size > 0").select(
-        "key", F.ceil(size / block).alias("blocks"), F.sum("source_size").over(W.partitionBy(F.lit(0))).alias("total"),
-        F.floor(target / size).alias("epochs"), (F.round(target).cast("long") - F.floor(target / size) * size).alias("more"),
-    )
-    plan = plan.withColumn("extra", F.least(F.ceil(F.greatest("more", F.lit(0)) / block), "blocks")).withColumn("n", F.col("epochs") * F.col("blocks") + F.col("extra"))
-    plan = plan.withColumn("shards", F.ceil(F.col("total") * SHARE / SHARD_WORDS)).filter("n > 0")
+    epochs = F.coalesce(F.floor(F.try_divide(target, size)), F.lit(0).cast("long"))  # a source without words has no slots
+    plan = sources.select("key", size.alias("size"), F.greatest(F.ceil(size / block), F.lit(1).cast("long")).alias("blocks"), epochs.alias("epochs"), (F.round(target).cast("long") - epochs * size).alias("more"))
+    # The last block of a source may be short. The permutation says whether it is among the extra blocks, and what they hold then.
+    short = plan.withColumn("tail_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.lit(seed), F.col("key"), F.col("epochs"), back=True)).withColumn("lack", F.col("blocks") * block - F.col("size"))
+    held = lambda k: k * block - F.when(F.col("tail_at") < k, F.col("lack")).otherwise(0)
+    least = F.ceil(F.greatest("more", F.lit(0)) / block)
+    plan = short.withColumn("extra", F.when(held(least) < F.col("more"), least + 1).otherwise(least)).withColumn("rest", F.col("more") - held(F.col("extra") - 1))
+    plan = plan.withColumn("n", F.col("epochs") * F.col("blocks") + F.col("extra")).filter("n > 0")
+    every = W.partitionBy(F.lit(0))  # a row for each source
+    plan = plan.withColumn("all", F.sum("n").over(every)).withColumn("offset", F.sum("n").over(every.orderBy("key")) - F.col("n"))
     runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(DRAW).cast("long")))).repartition("key", "run")
-    drawn = runs.withColumn("i", F.explode(F.sequence("run", F.least(F.col("run") + DRAW, "n") - 1))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "key", "i"), "shards"))
-    counts = drawn.groupBy("key", "shard", "blocks", "epochs", "more", "extra").agg(F.count(F.lit(1)).alias("count"))
-    ends = F.sum("count").over(W.partitionBy("key").orderBy("shard"))
-    ranged = counts.withColumn("from", ends - F.col("count"))
-    slot = ranged.withColumn("i", F.explode(F.sequence("from", F.col("from") + F.col("count") - 1)))
-    epoch, at = F.floor(F.col("i") / F.col("blocks")), F.col("i") % F.col("blocks")
-    fit = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: F.col("blocks") % p != 0)  # prime to the number of blocks
-    times = F.element_at(fit, (F.pmod(F.xxhash64(F.lit(seed), "key", "epoch", F.lit("times")), F.size(fit)) + 1).cast("int")) % F.col("blocks")
-    shift = F.pmod(F.xxhash64(F.lit(seed), "key", "epoch", F.lit("shift")), F.col("blocks"))
+    drawn = runs.withColumn("i", F.explode(F.sequence("run", F.least(F.col("run") + DRAW, "n") - 1)))
+    drawn = drawn.withColumn("epoch", F.floor(F.col("i") / F.col("blocks"))).withColumn("at", F.col("i") % F.col("blocks"))
+    to = permuted(F.col("offset") + F.col("i"), F.col("all"), F.lit(seed))
     last = (F.col("epoch") == F.col("epochs")) & (F.col("at") == F.col("extra") - 1)
-    return slot.withColumn("epoch", epoch).withColumn("at", at).select(
-        "key", ((times * F.col("at") + shift) % F.col("blocks")).alias("block"), "shard", F.xxhash64(F.lit(seed), "key", "i", F.lit("place")).alias("place"),
-        F.when(last, F.least(F.col("more") - (F.col("extra") - 1) * block, F.lit(block))).otherwise(block).alias("take"),
+    return drawn.withColumn("to", to).select(
+        "key", permuted(F.col("at"), F.col("blocks"), F.lit(seed), F.col("key"), F.col("epoch")).alias("block"), F.floor(F.col("to") / shard_slots).alias("shard"), (F.col("to") % shard_slots).alias("place"),
+        F.when(last, F.col("rest")).otherwise(block).alias("take"),
     )
 
 
-def plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", seed: int = 0, block: int = BLOCK, weights=WEIGHTS) -> DataFrame:
+def shard_counts(plan: DataFrame) -> DataFrame:
+    """``(shard, key, slots, words)``: what each output shard draws from each source, from a ``plan``."""
+    return plan.filter("words > 0").groupBy("shard", "key").agg(F.count_distinct("place").alias("slots"), F.sum("words").alias("words"))
+
+
+def plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", seed: int = 0, block: int = BLOCK, weights=WEIGHTS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """A row for each part of a document in a block and each time that the mix takes it, from narrow rows alone.
 
     The words of a source are one stream, cut into blocks. A document's place in it is the sum of the sizes before it:
@@ -107,38 +130,55 @@ def plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: st
     start = F.col("block") * block
     parts = parts.withColumn("lo", F.greatest(F.col("off") - start, F.lit(0))).withColumn("hi", F.least(F.col("off") + F.col("size") - start, F.lit(block))).withColumn("from", F.greatest(start - F.col("off"), F.lit(0)))
     # A merge join: slots are exploded from a few rows, whose size would let the planner broadcast them all.
-    return parts.join(slots(sources, seed, block).hint("merge"), ["key", "block"], "left").withColumn("words", F.when(F.col("take").isNull(), 0).otherwise(F.greatest(F.least("hi", "take") - F.col("lo"), F.lit(0))))
+    return parts.join(slots(sources, seed, block, shard_slots).hint("merge"), ["key", "block"], "left").withColumn("words", F.when(F.col("take").isNull(), 0).otherwise(F.greatest(F.least("hi", "take") - F.col("lo"), F.lit(0))))
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for each row of ``docs``.
 
     ``taken`` are the words that the mix takes of it, repeats counted: no more than twice its size, and over a source
-    within a block of its target. Null texts have size 0, and null sources are one source, the last; repeated rows
+    its target, rounded. Null texts have size 0, and null sources are one source, the last; repeated rows
     stand side by side; with no words at all every target is 0; other columns are ignored.
     """
     return plan(docs, **how).groupBy("key", "chunk", "no", "doc_id", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", chars: str = "n_chars", **how) -> DataFrame:
-    """The mixed corpus in the columns of ``docs``: a row for each part of a document that a block of the mix has.
+#: Columns that tell where a part of a document comes from and lies: its first word in the document, how many words it has,
+#: the output shard, the slot of the shard and the word of the slot that it starts at.
+PLACES = ["from_word", "n_words", "shard", "place", "at_word"]
+
 
-    The text is cut between words and keeps the white space after each (and before the first). Documents without
-    words give no rows. Texts move once, to their plan, and are cut there.
+def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", chars: str = "n_chars", places: bool = False, **how) -> DataFrame:
+    """The mixed corpus in the columns of ``docs``: a row for each part of a document that a slot of the mix has.
+
+    Rows are laid out by shard, in the order of slots and of words in a slot, so that what reads a partition in order gets
+    whole shards; all parts of a shard are in one partition. With ``places`` the columns PLACES follow (those of ``docs``
+    with such names are left out), by which documents can be put together again. The text is cut between words and keeps
+    the white space after each (and before the first); ``chars``, where there is such a column, is its new length. Null
+    texts and documents without words give no rows; repeated rows are mixed as often; rows without an id are told apart
+    by text; an empty table gives no rows; other columns pass through. Texts move twice: to their plan, where they are cut,
+    and to their shard. The words of one text are an array while it is cut, so it must fit in a task with some 50 bytes a
+    word.
     """
     p = plan(docs, text, id_col, source, **how).filter("words > 0")
-    lists = p.groupBy("key", "chunk", "no", "row", "size", "mark").agg(F.collect_list(F.struct("shard", "place", "from", "words")).alias("cuts"))
-    lists = lists.groupBy(F.col("row").alias("__row2"), F.col("key").alias("__key2"), F.col("mark").alias("__mark2")).agg(F.sort_array(F.collect_list(F.struct(F.col("no"), "cuts"))).alias("__all"))
-    keyed = docs.withColumn("__row", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))).withColumn("__mark", F.xxhash64(text))
-    s = F.col(source).cast("string")
-    keyed = keyed.withColumn("__key", F.coalesce(F.concat(F.lit("s"), s), F.lit("n")))
+    cut_of = F.struct("shard", "place", "lo", "from", "words")
+    lists = p.groupBy("key", "chunk", "no", "row", "size", "mark").agg(F.collect_list(cut_of).alias("cuts"))
     # Rows that agree in id, source and text are told apart by their number; all else joins one to one.
-    keyed = keyed.withColumn("__no", F.row_number().over(W.partitionBy("__row", "__mark", "__key").orderBy(F.lit(0))))
-    both = keyed.join(lists, (F.col("__row") == F.col("__row2")) & (F.col("__mark") == F.col("__mark2")) & (F.col("__key") == F.col("__key2")))
+    lists = lists.withColumn("__no", F.row_number().over(W.partitionBy("row", "mark", "key", "chunk").orderBy("no"))).select(*[F.col(c).alias("__" + c + "2") for c in ("row", "key", "mark", "chunk")], F.col("__no").alias("__no2"), F.sort_array("cuts").alias("__cuts"))
+    s = F.col(source).cast("string")
+    spread = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    keyed = docs.withColumns({"__row": F.xxhash64(F.col(id_col)), "__mark": F.xxhash64(text), "__key": F.coalesce(F.concat(F.lit("s"), s), F.lit("n"))})
+    keyed = keyed.withColumn("__chunk", F.pmod(F.xxhash64("__row", "__mark", spread), F.lit(CHUNKS)))
+    keyed = keyed.withColumn("__no", F.row_number().over(W.partitionBy("__row", "__mark", "__key", "__chunk").orderBy(F.lit(0))))
+    names = ("__row", "__mark", "__key", "__chunk", "__no")
+    both = keyed.join(lists, [F.col(n) == F.col(n + "2") for n in names])
     words = F.regexp_extract_all(F.col(text), F.lit(r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut = both.withColumn("__words", words).withColumn("__cut", F.explode(F.get("__all", (F.col("__no") - 1).cast("int"))["cuts"]))
+    cut = both.withColumn("__words", words).withColumn("__cut", F.explode("__cuts"))
     piece = F.array_join(F.slice("__words", (F.col("__cut.from") + 1).cast("int"), F.col("__cut.words").cast("int")), "")
     out = cut.withColumn(text, piece)
     if chars in docs.columns:
         out = out.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
-    return out.select(*docs.columns)
+    kept = [c for c in docs.columns if not (places and c in PLACES)]
+    where = [F.col("__cut." + c).alias("__p_" + n) for c, n in zip(("from", "words", "shard", "place", "lo"), PLACES, strict=True)]
+    laid = out.select(*kept, *where).repartition("__p_shard").sortWithinPartitions("__p_shard", "__p_place", "__p_at_word")
+    return laid.select(*kept, *([F.col("__p_" + n).alias(n) for n in PLACES] if places else []))
