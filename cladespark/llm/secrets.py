@@ -11,15 +11,16 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: Runs are matched whole, so their least length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Candidates for the Markov models.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidates for the Markov models: whole runs with a digit, or an upper-case letter after a lower-case one, as short as
+#: a value that counts after a name like ``password``. A run of one case without digits is a word of some language.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*?(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_=-]{8,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Mean log-likelihood ratio per character pair above which a candidate is taken to be random.
-THRESHOLD = 0.4
+#: Log-likelihood ratio of a whole candidate above which it is taken to be random: the log of the prior odds against it.
+THRESHOLD = 9.0
 #: Labelled samples that the default models are trained from, of each kind.
 SAMPLES = 4096
-#: Words that make up ordinary identifiers in the samples; a fixed list.
+#: Words that make up ordinary identifiers and phrases in the samples; a fixed list.
 IDENTIFIER_WORDS = (
     "account action active address agent amount answer append argument array attribute author balance banner batch before binary block border bottom "
     "branch browser buffer builder button cache callback cancel category center change channel character check child client close cluster code collection "
@@ -39,22 +40,33 @@ IDENTIFIER_WORDS = (
     "status storage store stream string strong style subject submit success summary support switch symbol system table target task template terminal text "
     "theme thread time title toggle tool total track transaction transfer transform tree trigger type unique unit update upload user valid value variable "
     "vector version vertical video view visible visitor warning weight widget width window worker wrapper write zone with from that this there other thing "
-    "tion ing ent ation and the her ere ment able ness ither est ould over under into onto their these those which while where when here hand stand thin "
-    "earth other ering tions ander ented heard shore blend noted tried instead interest entering anthem rather theatre onion shine wherein oration"
+    "about after again because between country different during every family great house large might never often people place school should small still "
+    "their these things think through under until water where which while world would years young another nothing something whether without together"
 ).split()
 
 
-def default_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """``(text, secret)``: pseudorandom base64, hex and alphanumeric strings, and identifiers of several styles."""
-    ids = spark.range(n)
+def default_samples(spark: SparkSession, n: int = SAMPLES, first: int = 0) -> DataFrame:
+    """``(text, secret)``: ``n`` strings of each label from the ids ``first`` and up. Secrets are pseudorandom base64, hex and
+    alphanumeric strings of 12 to 64 characters; ordinary ones are words and identifiers of several styles, dates, UUIDs,
+    paths, ruled lines and base64 of words."""
+    ids = spark.range(first, first + n)
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.base64(F.unhex(digest))
-    secret = F.when(F.col("id") % 3 == 0, base64).when(F.col("id") % 3 == 1, digest).otherwise(F.regexp_replace(base64, "[+/=]", ""))
+    drawn = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int")
+    plain64 = F.regexp_replace(base64, "[+/=]", "")
+    secret = F.when(F.col("id") % 4 == 0, base64).when(F.col("id") % 4 == 1, F.substr(digest, F.lit(1), drawn("hex", 33) + 32)).otherwise(F.substr(plain64, F.lit(1), drawn("cut", 29) + 12))
     words = F.array(*[F.lit(w) for w in IDENTIFIER_WORDS])
-    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(IDENTIFIER_WORDS))) + 1).cast("int"))
-    parts = [pick(k) for k in range(4)]
-    plain = F.when(F.col("id") % 5 == 0, F.concat_ws("_", *parts)).when(F.col("id") % 5 == 1, F.concat(parts[0], *[F.initcap(p) for p in parts[1:]]))
-    plain = plain.when(F.col("id") % 5 == 2, F.concat_ws("-", *parts)).when(F.col("id") % 5 == 3, F.upper(F.concat_ws("_", *parts))).otherwise(F.concat(*parts))
+    parts = [F.element_at(words, drawn(k, len(IDENTIFIER_WORDS)) + 1) for k in range(4)]
+    day = F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), drawn("day", 15000)), "yyyy-MM-dd")
+    uuid = F.concat_ws("-", *[F.substr(digest, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    kinds = [
+        F.concat_ws("_", *parts), F.concat(parts[0], *[F.initcap(p) for p in parts[1:]]), F.concat_ws("-", *parts), F.upper(F.concat_ws("_", *parts)),
+        F.concat(*parts), F.concat_ws("/", *parts), F.concat(F.initcap(parts[0]), parts[1]), F.concat_ws("-", parts[0], day), F.concat(parts[0], parts[1], drawn("no", 1000).cast("string")),
+        uuid, F.repeat(F.element_at(F.array(*[F.lit(c) for c in "-=_+/x0"]), drawn("rule", 7) + 1), 24), F.base64(F.encode(F.concat_ws(" ", *parts), "UTF-8")),
+    ]
+    plain = kinds[0]
+    for i, k in enumerate(kinds[1:], 1):
+        plain = F.when(F.col("id") % len(kinds) == i, k).otherwise(plain)
     return ids.select(secret.alias("text"), F.lit(True).alias("secret")).union(ids.select(plain.alias("text"), F.lit(False).alias("secret")))
 
 
@@ -83,10 +95,10 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def ratio(token: Column, table: list[float]) -> Column:
-    """Mean log-likelihood ratio of a token's transitions."""
+    """Log-likelihood ratio of a token: the sum over its transitions."""
     codes = F.transform(F.split(token, ""), F.ascii)
     logs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.get(F.array(*[F.lit(x) for x in table]), a * 128 + b))
-    return F.aggregate(logs, F.lit(0.0), lambda s, x: s + x) / F.size(logs)
+    return F.aggregate(logs, F.lit(0.0), lambda s, x: s + x)
 
 
 #: Elements that a running sum takes together; sums of such parts are summed first, so long lists stay cheap.
@@ -130,7 +142,8 @@ def scan(docs: DataFrame, table: list[float], text: str = "text", id_col: str =
 
     ``base`` are matches of the known forms; ``extra`` are candidates that the Markov models take to be random, which
     may lie on base spans. Whole texts are scanned, null ones as empty; repeated rows repeat; other columns are
-    ignored. All is done in the row, without a shuffle.
+    ignored; an empty table gives an empty result; ids may be of any type. All is done in the row, without a shuffle:
+    the spans of a text are arrays of its row, so a text and some 40 bytes for each candidate in it must fit in a task.
     """
     t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = t.select("doc_id", F.expr(f"filter({_spans('t', ASSIGN, 0, 2)}, x -> length(x.value) >= 8)").alias("s0"), F.expr(_spans("t", ACCESS, 1)).alias("s1"), F.expr(_spans("t", HEX, 2)).alias("s2"), F.expr(_spans("t", CANDIDATE, 3)).alias("s3"))
