@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_pass, field, grams, word_hashes
+from .common import arrow_pass, durable, field, grams, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Bits of a fingerprint, in BLOCKS blocks of 64.
+BITS, BLOCKS = 256, 4
 #: Bits that the fingerprints of a window and an item may differ in. Fingerprints are of (shingle, occurrence number),
 #: whose sets have the Jaccard similarity of the bags, repeats counted. At 0.8 the bits differ independently with
-#: probability acos(8/9)/pi = 0.15, so 64 bits differ in 9.7 on average (deviation 2.9), and over 24 do once in a
-#: million windows.
-RADIUS = 24
-BLOCKS = 8
+#: probability acos(8/9)/pi = 0.15, so 256 bits differ in 38.8 on average (deviation 5.7), and over 66 do once in a
+#: million windows. Two that differ in at most 66 differ in at most 16 bits in one of the four blocks; unlike texts, whose
+#: bits differ by a coin's toss, are that close in one of the blocks in 0.02 % of all pairs.
+RADIUS = 66
 #: Bytes of benchmark text that one pass over the documents carries; a larger benchmark takes several passes.
 PASS_BYTES = 16 << 20
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
-    """A row of 64 entries +1 or -1 per hash."""
-    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    """A row of BITS entries +1 or -1 per hash."""
+    words = np.empty((len(h), BLOCKS), ">u8")
+    with np.errstate(over="ignore"):
+        for k in range(BLOCKS):
+            x = h + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+            for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(mul)
+            words[:, k] = x ^ (x >> np.uint64(31))
+    return np.unpackbits(words.view(np.uint8), axis=1).view(np.int8) * np.int8(2) - np.int8(1)
 
 
 def _fold(votes: np.ndarray) -> np.ndarray:
-    """Fingerprint bytes, a row of 8 for each row of 64 votes."""
-    return np.packbits(votes > 0, axis=1)
+    """Fingerprint blocks, BLOCKS words for each row of votes."""
+    return np.packbits(votes > 0, axis=1).view(np.uint64)
 
 
 def _numbered(g: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -49,8 +61,8 @@ def window_votes(g: np.ndarray, wide: int) -> np.ndarray:
     m = len(g)
     kinds, kind = np.unique(g, return_inverse=True)
     if len(kinds) == m:
-        total = np.zeros((m + 1, 64), np.int32)
-        np.cumsum(_bits(g), axis=0, out=total[1:])
+        total = np.zeros((m + 1, BITS), np.int32)
+        np.cumsum(_bits(g), axis=0, dtype=np.int32, out=total[1:])
         return total[wide:] - total[:-wide]
     place = kind.astype(np.int64) * (m + 1) + np.arange(m)  # sorted by shingle, then position
     order = np.sort(place)
@@ -60,17 +72,18 @@ def window_votes(g: np.ndarray, wide: int) -> np.ndarray:
     entering = here + 1 - upto(kind, np.maximum(at - wide + 1, 0))  # with itself, in the window that ends here
     last = m - wide
     leaving = upto(kind[:last], at[:last] + wide) - here[:last]
-    out = np.empty((last + 1, 64), np.int32)
-    out[0] = _bits(_numbered(g[:wide], entering[:wide])).sum(0)
-    out[1:] = _bits(_numbered(g[wide:], entering[wide:])) - _bits(_numbered(g[:last], leaving))
+    out = np.empty((last + 1, BITS), np.int32)
+    out[0] = _bits(_numbered(g[:wide], entering[:wide])).sum(0, dtype=np.int32)
+    np.subtract(_bits(_numbered(g[wide:], entering[wide:])), _bits(_numbered(g[:last], leaving)), out=out[1:], dtype=np.int32)
     return np.cumsum(out, axis=0, out=out)
 
 
 class Index:
-    """The items of one pass: their shingles, fingerprints and the multi-index of their fingerprint bytes.
+    """The items of one pass: their shingles and fingerprints, the items of each size together.
 
-    ``table[k, v]`` marks the items whose k-th byte is within RADIUS // BLOCKS bits of v. A window within RADIUS bits of
-    an item is that close in one of the eight bytes, so the union over the bytes misses none.
+    A window is a candidate for an item of its size if one of the blocks of their fingerprints differs in at most RADIUS //
+    BLOCKS bits. Any within RADIUS bits in all are, by the pigeonhole rule. ``looked`` and ``met`` count the pairs of a window
+    and an item that were compared, and those that became candidates.
     """
 
     def __init__(self, items: list[tuple[int, bytes]], words: int = WORDS):
@@ -81,9 +94,10 @@ class Index:
         shingles = [grams(h, words) for _, h in kept]
         self.bags = [np.unique(s, return_counts=True) for s in shingles]
         n = len(kept)
-        self.fp = np.concatenate([_fold(window_votes(s, len(s))) for s in shingles]) if n else np.zeros((0, 8), np.uint8)
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
-        self.table = np.stack([near[:, self.fp[:, k]] for k in range(8)]) if n else np.zeros((8, 256, 0), bool)
+        fp = [_fold(window_votes(s, len(s))) for s in shingles]
+        self.of_size = {int(n): np.flatnonzero(self.size == n) for n in set(self.size.tolist())}
+        self.fp = {n: np.concatenate([fp[k] for k in ks]) for n, ks in self.of_size.items()}
+        self.looked = self.met = 0
         self.keys = np.unique(np.concatenate([s for s, _ in self.bags])) if n else np.zeros(0, np.uint64)
         owner: dict[int, list[int]] = {}
         for k, (s, _) in enumerate(self.bags):
@@ -153,18 +167,18 @@ class Index:
     def _verify(self, g: np.ndarray, size: int, wide: int, starts: np.ndarray, best: dict) -> None:
         lo, hi = int(starts[0]), int(starts[-1]) + wide
         fp = _fold(window_votes(g[lo:hi], wide)[starts - lo])
-        found = self.table[0, fp[:, 0]]
-        for k in range(1, 8):
-            found |= self.table[k, fp[:, k]]
-        w, k = np.nonzero(found & (self.size == size))
-        if not len(w):
-            return
-        close = np.bitwise_count(fp[w] ^ self.fp[k]).sum(1, dtype=np.int64) <= RADIUS
-        for i, j in zip(w[close].tolist(), k[close].tolist(), strict=True):
-            s = int(starts[i])
-            similar = self.similarity(g[s : s + wide], j)
-            if similar >= SIMILARITY and similar > best.get(j, (0.0,))[0]:
-                best[j] = (similar, s, wide + self.words - 1)
+        own, items = self.fp[size], self.of_size[size]
+        for at in range(0, len(items), 256):  # 1,024 windows by 256 items at a time
+            apart = np.bitwise_count(fp[:, None, :] ^ own[None, at : at + 256, :])
+            w, k = np.nonzero((apart <= RADIUS // BLOCKS).any(2))
+            self.looked += apart.shape[0] * apart.shape[1]
+            self.met += len(w)
+            close = apart[w, k].sum(1, dtype=np.int64) <= RADIUS
+            for i, j in zip(w[close].tolist(), items[at + k[close]].tolist(), strict=True):
+                s = int(starts[i])
+                similar = self.similarity(g[s : s + wide], j)
+                if similar >= SIMILARITY and similar > best.get(j, (0.0,))[0]:
+                    best[j] = (similar, s, wide + self.words - 1)
 
     def similarity(self, window: np.ndarray, k: int) -> float:
         """Weighted Jaccard of the bags of shingles."""
@@ -193,13 +207,18 @@ class _Lazy:
         return self.index
 
 
-def _passes(benchmark: DataFrame, text: str, id_col: str) -> list[_Lazy]:
-    """The benchmark in parts of bounded size, each broadcast for one pass."""
+def _passes(benchmark: DataFrame, text: str, id_col: str) -> Iterator[tuple[_Lazy, bool]]:
+    """The benchmark in parts of bounded size, each broadcast for one pass, and whether it is the only one. A part is
+    read when it is asked for, and its broadcast goes when the next one is, so the driver holds one at a time."""
     items = benchmark.select(F.col(id_col).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     n = int(size // PASS_BYTES) + 1
     sc = benchmark.sparkSession.sparkContext
-    return [_Lazy(sc.broadcast([(r.i, r.t.encode()) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()])) for k in range(n)]
+    for k in range(n):
+        part = sc.broadcast([(r.i, r.t.encode()) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toLocalIterator()])
+        yield _Lazy(part), n == 1
+        if n > 1:
+            part.unpersist()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -212,30 +231,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
     empty and never match, nor do items without words; repeated document rows repeat their rows. The benchmark is read
     to the driver in parts of at most PASS_BYTES by a hash of the item, and each part makes one pass without a shuffle.
     """
-    fields = [field("hits", "array<struct<item_id:bigint,start_word:int,window_words:int,similarity:double>>"), field("any", "boolean")]
+    kind = benchmark.schema[item_id].dataType
+    fields = [field("hits", f"array<struct<item_id:{kind.simpleString()},start_word:int,window_words:int,similarity:double>>"), field("any", "boolean")]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for lazy in _passes(benchmark, item_text, item_id):
+    for lazy, alone in _passes(benchmark, item_text, item_id):
 
         def run(texts, lazy=lazy):
             index = lazy.get()
             rows = [[dict(zip(("item_id", "start_word", "window_words", "similarity"), h, strict=True)) for h in index.hits(t)] for t in texts]
-            return {"hits": _hit_array(rows), "any": [bool(r) for r in rows]}
+            return {"hits": _hit_array(rows, to_arrow_type(kind)), "any": [bool(r) for r in rows]}
 
         part = arrow_pass(source, ["doc_id"], "text", fields, run, only="any")
+        part = part if alone else durable(part)
         out = part if out is None else out.union(part)
     return out.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
-def _hit_array(rows):
+def _hit_array(rows, kind):
     import pyarrow as pa
 
-    return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("window_words", pa.int32()), ("similarity", pa.float64())])))
+    return pa.array(rows, pa.list_(pa.struct([("item_id", kind), ("start_word", pa.int32()), ("window_words", pa.int32()), ("similarity", pa.float64())])))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """``docs`` without the rows that hold a window like a benchmark item; all columns pass through unchanged."""
+    """``docs`` without the rows that hold a window like a benchmark item; all columns pass through unchanged. Null and
+    empty texts stay; repeated rows stay or go together; an empty benchmark drops nothing. A benchmark of several parts is
+    one pass each, cut off by a checkpoint."""
     out = docs
-    for lazy in _passes(benchmark, item_text, item_id):
+    for lazy, alone in _passes(benchmark, item_text, item_id):
         out = arrow_pass(out, docs.columns, text, [field("__clean", "boolean")], lambda texts, lazy=lazy: {"__clean": [not lazy.get().hits(t) for t in texts]}, only="__clean")
+        out = out if alone else durable(out)
     return out
