@@ -186,13 +186,17 @@ def test_markov_held_out(spark):
 # Licences.
 
 
-def slow_licence(line, v):
-    terms = licences.terms_of(line)
-    if not terms:
-        return 0.0, None
-    n = Counter(terms)
-    norm = sum((c * v.idf.get(t, v.unknown)) ** 2 for t, c in n.items()) ** 0.5
-    return max((round(sum(c * v.idf[t] * vec.get(t, 0) for t, c in n.items() if t in v.idf) / norm, 9), -i, name) for i, (name, vec) in enumerate(v.rows))[::2]
+def slow_licence(text, v):
+    """Score and name of the best window that some template's anchor lays, by plain vectors."""
+    terms, hits = licences.terms_of(text), []
+    for p, t in enumerate(terms):
+        for k, o, n in v.places.get(t, ()):
+            start = max(p - o, 0)
+            c = Counter(terms[start : start + n])
+            norm = sum((m * v.idf.get(x, v.unknown)) ** 2 for x, m in c.items()) ** 0.5
+            score = round(sum(m * v.idf[x] * v.rows[k][1].get(x, 0) for x, m in c.items() if x in v.idf) / norm, 9)
+            hits.append((round(score - 2 / n, 9), -start, -k, score, v.rows[k][0]))
+    return max((h for h in hits if h[3] >= v.threshold), default=(0, 0, 0, 0.0, None))[3:]
 
 
 def test_licences(spark):
