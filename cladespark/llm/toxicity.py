@@ -18,9 +18,6 @@ from .common import PIECE_BYTES, arrow_pass, as_bytes, bound_batches, durable, f
 
 #: At most about so many labelled documents of each class are learned from, chosen by a hash of the id.
 SAMPLE = 8000
-#: At most so many bigrams and so many words make the model, the most frequent in the sample (ties by spelling).
-MOST_BIGRAMS = 200_000
-MOST_WORDS = 200_000
 DISCOUNT = 0.75
 #: Words in fewer contexts, and bigrams in fewer sampled documents, fall back to the shared counts.
 LEAST = 5
@@ -28,9 +25,7 @@ LEAST = 5
 FALSE_RATE = 0.1
 #: Log-ratios below this are taken for chance, as common words have so many contexts that any difference stands out.
 LEAST_RATIO = 0.7
-#: Bound of the normalised log-ratio, so that lines repeated hundreds of times count no more than plain evidence.
-MOST_RATIO = 4.0
-#: First bytes of a word that it falls back to: rare forms of an expression share them.
+#: First characters of a word that it falls back to: rare forms of an expression share them.
 STEM = 4
 EDGE = b".,;:!?\"'()[]{}#*$%&|<>-_"
 
@@ -40,6 +35,11 @@ def words(text: bytes) -> list[bytes]:
     return [w for x in text.lower().split() if (w := x.strip(EDGE))]
 
 
+def stem_of(word: bytes) -> bytes:
+    """The first STEM characters; no character is cut."""
+    return word[:STEM] if word.isascii() else word.decode("utf-8", "replace")[:STEM].encode()
+
+
 def sample(labels: DataFrame, id_col: str, label: str, bound: int) -> tuple[DataFrame, float]:
     """Labels ``(doc_id, y)`` to learn from: folds 1 to 4, about as many of either class, at most about ``bound`` of each;
     and how many ordinary labels there are for each toxic one.
@@ -74,7 +74,8 @@ class Model:
     def ratio(self, text: bytes) -> float:
         """Log-likelihood of the toxic model less that of the ordinary one, over the square root of the length.
 
-        The sum over n words strays from its mean in proportion to the square root of n, so this normalisation
+        It has no bounds; the score takes its inverse hyperbolic sine, so that a line repeated hundreds of times weighs
+        little more than plain evidence. The sum over n words strays from its mean in proportion to the square root of n, so this normalisation
         compares short and long texts alike; dividing by n would let one long clean passage hide an insult.
         """
         total, n, before = 0.0, 0, b""
@@ -87,13 +88,13 @@ class Model:
                 if r is None:
                     r = word(w)
                     if r is None:
-                        r = stem(w[:STEM], 0.0)
+                        r = stem(stem_of(w), 0.0)
                 total += r
                 before = w
-        return max(-MOST_RATIO, min(MOST_RATIO, total / n**0.5)) if n else 0.0
+        return total / n**0.5 if n else 0.0
 
     def score(self, text: bytes) -> float:
-        z = self.slope * self.ratio(text) + self.shift
+        z = self.slope * np.arcsinh(self.ratio(text)) + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -140,7 +141,7 @@ def _shared(docs: DataFrame, text: str, vocabulary: list[bytes], stems: list[byt
                     for part in pieces(t):
                         ws = words(part)
                         total += len(ws)
-                        found = [i for w in ws for i in (word(w, none), stem(w[:STEM], none))]
+                        found = [i for w in ws for i in (word(w, none), stem(stem_of(w), none))]
                         count += np.bincount(np.array(found, np.int64), minlength=none + 1)
         at = np.flatnonzero(count[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(count[at], total), pa.int64())], names=["i", "n"])
@@ -173,16 +174,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     # A word's evidence is the number of different words before it, as its Kneser-Ney count is: a passage that many
     # documents share is one context, so groups of copies do not look like evidence.
     by_word = counts.groupBy("b").agg(*sided(F.lit(1))).withColumn("a", F.lit(None).cast("binary")).withColumn("d", F.col("d0") + F.col("d1")).filter(F.col("d") >= LEAST)
-    known = told(by_word.orderBy(F.desc("d"), "b").limit(MOST_WORDS).collect(), sums[1][0] / (sums[0][0] + sums[1][0]))
+    share = sums[1][0] / (sums[0][0] + sums[1][0])
+    known = told(by_word, share)
     vocabulary = sorted(bytes(r.b) for r in known)
-    by_stem = counts.groupBy(F.substring("b", 1, STEM).alias("b")).agg(*sided(F.lit(1))).withColumn("a", F.lit(None).cast("binary")).withColumn("d", F.col("d0") + F.col("d1")).filter(F.col("d") >= LEAST)
-    families = sorted(told(by_stem.orderBy(F.desc("d"), "b").limit(MOST_WORDS).collect(), sums[1][0] / (sums[0][0] + sums[1][0])), key=lambda r: bytes(r.b))
+    by_stem = counts.groupBy(F.substring(F.col("b").cast("string"), 1, STEM).cast("binary").alias("b")).agg(*sided(F.lit(1))).withColumn("a", F.lit(None).cast("binary")).withColumn("d", F.col("d0") + F.col("d1")).filter(F.col("d") >= LEAST)
+    families = sorted(told(by_stem, share), key=lambda r: bytes(r.b))
     rank = {w: i for i, w in enumerate(vocabulary)}
     spark = counts.sparkSession
     listed = lambda ws: F.broadcast(spark.createDataFrame([(w,) for w in sorted(ws)], "w binary"))
     types = np.array([[r.d0, r.d1] for r in sorted(known, key=lambda r: bytes(r.b))], float).reshape(-1, 2).T
     by_gram = counts.join(listed(vocabulary), F.col("b") == F.col("w")).groupBy("a", "b").agg(*sided(F.col("d")), *[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]).withColumn("d", F.col("d0") + F.col("d1")).filter(F.col("d") >= LEAST)
-    pairs = [(bytes(r.a), bytes(r.b), r.n0, r.n1) for r in told(by_gram.orderBy(F.desc("d"), "a", "b").limit(MOST_BIGRAMS).collect(), sizes[1] / (sizes[0] + sizes[1]))]
+    pairs = [(bytes(r.a), bytes(r.b), r.n0, r.n1) for r in told(by_gram, sizes[1] / (sizes[0] + sizes[1]))]
     follow: list[dict[bytes, tuple[int, int]]] = [{}, {}]  # distinct and all bigrams after a history
     for r in counts.join(listed({a for a, *_ in pairs}), F.col("a") == F.col("w")).groupBy("y", "a").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect():
         follow[r.y][bytes(r.a)] = (r.k, r.n)
@@ -212,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     model.heads = frozenset(a for a, _ in model.bigram)
     outer = chosen.filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
     rows = scores(docs.select(id_col, text).join(F.broadcast(outer.select(F.col("doc_id").alias(id_col), "y")), id_col), model, text, ["y"], raw=True).collect()  # bounded by the sample
-    x, y = np.array([r.score for r in rows]), np.array([r.y for r in rows], float)
+    x, y = np.arcsinh([r.score for r in rows]), np.array([r.y for r in rows], float)
     if 0 < y.sum() < len(y):
         # The sample holds the classes in equal numbers; weights bring back their real proportion.
         weight = np.where(y == 1, 1.0, prior / (y.size - y.sum()) * y.sum())
@@ -220,10 +222,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     return model
 
 
-def told(rows: list, share: float, rate: float = FALSE_RATE) -> list:
+def told(rows: DataFrame, share: float, rate: float = FALSE_RATE) -> list:
     """The rows whose counts ``d0`` and ``d1`` lie in one class beyond chance: a sign test of each, and Benjamini and
-    Hochberg's rule for all together. ``share`` is the toxic part of all counts."""
-    known: dict[tuple[int, int], float] = {}
+    Hochberg's rule for all together. ``share`` is the toxic part of all counts.
+
+    The test depends on the two counts alone, so the rule is worked out from how many rows have each pair of counts, and
+    no other row than the telling ones comes to the driver. All are counts of the bounded sample.
+    """
+    pairs = [(r.d0, r.d1, r.k) for r in rows.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("k")).collect()]
+    chosen = telling(pairs, share, rate)
+    if not chosen:
+        return []
+    listed = rows.sparkSession.createDataFrame(sorted(chosen), "d0 long, d1 long")
+    return rows.join(F.broadcast(listed), ["d0", "d1"]).collect()
+
+
+def telling(pairs: list[tuple[int, int, int]], share: float, rate: float = FALSE_RATE) -> set[tuple[int, int]]:
+    """Of pairs of counts, each with the number of rows that have it, those that Benjamini and Hochberg's rule takes."""
 
     def tail(k: int, n: int, q: float) -> float:
         """Chance of k or more of n."""
@@ -231,15 +246,14 @@ def told(rows: list, share: float, rate: float = FALSE_RATE) -> list:
             return 0.5 * erfc((k - 0.5 - n * q) / sqrt(2 * n * q * (1 - q)))
         return sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(q) + (n - i) * log(1 - q)) for i in range(k, n + 1))
 
-    def chance(r) -> float:
-        key = (r.d0, r.d1)
-        if key not in known:
-            known[key] = min(tail(r.d1, r.d, share), tail(r.d0, r.d, 1 - share))
-        return known[key]
-
-    ordered = sorted(rows, key=lambda r: (chance(r), bytes(r.a or b""), bytes(r.b)))
-    last = max((i for i, r in enumerate(ordered, 1) if chance(r) <= rate * i / len(ordered)), default=0)
-    return ordered[:last]
+    ordered = sorted((min(tail(d1, d0 + d1, share), tail(d0, d0 + d1, 1 - share)), d0, d1, k) for d0, d1, k in pairs)
+    total = sum(k for *_, k in ordered)
+    upto, last = 0, -1
+    for i, (p, _, _, k) in enumerate(ordered):
+        upto += k
+        if p <= rate * upto / total:
+            last = i
+    return {(d0, d1) for _, d0, d1, _ in ordered[: last + 1]}
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -259,7 +273,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def scores(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, raw: bool = False) -> DataFrame:
     """Columns ``keep`` and ``score``; with ``raw`` the normalised log-ratio instead of the probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_BIGRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # what the bounded sample tells apart
 
     def run(texts):
         f = shared.value.ratio if raw else shared.value.score
