@@ -3,45 +3,61 @@
 from __future__ import annotations
 
 import base64
+import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import as_bytes, bound_batches, text_steps
 
-#: The tokenizer's vocabulary file, a line of base64 bytes and rank for each token; a parameter everywhere.
+#: The tokenizer's vocabulary file, a line of base64 bytes and rank for each token; a parameter everywhere. The driver
+#: reads it and broadcasts its bytes, so workers need no copy.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary expects texts to be split, a fixed value of its public definition.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 LENGTH = 2048
-#: Tokens that a task holds before it packs them; packing is best-fit-decreasing within such a window.
+#: Bytes that a vocabulary file may have.
+VOCABULARY_BYTES = 64 << 20
+#: Tokens that a task holds before it packs them, by default; packing is best-fit-decreasing within such a window.
 WINDOW_TOKENS = 1 << 21
 #: A text is encoded in slices of about so many characters, cut where the pattern always cuts.
 SLICE = 1 << 20
 
 
+def vocabulary_bytes(path: str) -> bytes:
+    """The vocabulary file, by a local path of the driver; refused beyond VOCABULARY_BYTES, as it is broadcast."""
+    if os.path.getsize(path) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} has over {VOCABULARY_BYTES} bytes")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Encoder:
-    """The tokenizer, loaded once in each worker."""
+    """The tokenizer, loaded once in each worker from a broadcast vocabulary file (or its bytes)."""
 
-    _loaded: dict[str, object] = {}
+    _loaded: dict[int, object] = {}
 
-    def __init__(self, vocabulary: str = VOCABULARY):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary=None):
+        self.vocabulary = vocabulary_bytes(VOCABULARY) if vocabulary is None else vocabulary
 
     def encoding(self):
-        if self.vocabulary not in self._loaded:
+        raw = self.vocabulary if isinstance(self.vocabulary, bytes) else self.vocabulary.value
+        key = zlib.crc32(raw)
+        if key not in self._loaded:
             import tiktoken
 
-            with open(self.vocabulary, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-            self._loaded[self.vocabulary] = tiktoken.Encoding("packed", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return self._loaded[self.vocabulary]
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines())}
+            self._loaded[key] = tiktoken.Encoding("packed", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return self._loaded[key]
 
-    def encode(self, text: str) -> np.ndarray:
-        e = self.encoding()
+    def encode(self, text: str, e=None) -> np.ndarray:
+        e = e or self.encoding()
         parts = [e.encode_ordinary(t) for t in slices(text)]
         return np.fromiter((x for p in parts for x in p), np.int32, sum(map(len, parts))) if len(parts) > 1 else np.array(parts[0], np.int32)
 
@@ -122,20 +138,23 @@ NAMES = ["row_doc", "row_part", "row_copy", "n_tokens", "doc_ids", "parts", "cu_
 KINDS = ["long", "int", "int", "int", "array<long>", "array<int>", "array<int>", "binary", "binary"]
 
 
-def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, vocabulary: str = VOCABULARY, end: int = END, pad: int = END) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, vocabulary: str = VOCABULARY, end: int = END, pad: int = END, window: int = WINDOW_TOKENS) -> DataFrame:
     """Rows of packed token ids, ``length`` each.
 
     Every text becomes its ids and an end token. One that is longer than a row is split into full rows and a rest, in
-    order, and loses nothing. Segments are packed best-fit-decreasing within windows of WINDOW_TOKENS, in a single pass
-    without a shuffle. ``ids`` is a row of the matrix, little-endian int32, padded with ``pad``; ``cu_seqlens`` are the
+    order, and loses nothing. Segments are packed best-fit-decreasing within windows of ``window`` tokens, as they follow
+    each other in a partition, in a single pass without a shuffle; so which rows share a window follows the splits of the input. ``ids`` is a row of the matrix, little-endian int32, padded with ``pad``; ``cu_seqlens`` are the
     bounds of its segments (from 0 to ``n_tokens``); ``position_ids`` restart at 0 in each segment and in the padding;
     ``doc_ids`` and ``parts`` tell whose part each segment is. ``row_doc``, ``row_part`` and ``row_copy`` name a row by
     its first segment (``row_copy`` counts repeats of a document within a window). Null and empty texts are an end
-    token alone; repeated rows are packed as often; a null id stays null; an empty table gives no rows.
+    token alone; repeated rows are packed as often; a null id stays null; an empty table gives no rows; other columns
+    are ignored, whatever their names. Ids may be of any type, which ``row_doc`` and ``doc_ids`` have.
     """
     bound_batches(docs.sparkSession, 200)
-    encoder = Encoder(vocabulary)
-    source = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text}` as text")
+    encoder = Encoder(docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary)))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    id_type, id_kind = source.schema["doc_id"].dataType.simpleString(), to_arrow_type(source.schema["doc_id"].dataType)
+    names, kinds = NAMES, [id_type, "int", "int", "int", f"array<{id_type}>", *KINDS[5:]]
 
     def rows(held: list[tuple[int | None, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         packed = best_fit_decreasing([len(x[3]) for x in held], length)
@@ -150,26 +169,26 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: in
                     cu.append(hi)
                 pos[cu[-1] :] = np.arange(length - cu[-1])
                 out.append((own[0][0], own[0][1], own[0][2], cu[-1], [o[0] for o in own], [o[1] for o in own], cu, ids.tobytes(), pos.tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            kinds = [id_kind, pa.int32(), pa.int32(), pa.int32(), pa.list_(id_kind), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, copies = [], 0, {}
+        held, n, copies, e = [], 0, {}, encoder.encoding()
         for batch in batches:
             for step in text_steps(batch, "text"):
                 for doc, b in zip(step.column("doc_id").to_pylist(), as_bytes(step, "text"), strict=True):
-                    ids = np.append(encoder.encode(b.decode()), np.int32(end))
+                    ids = np.append(encoder.encode(b.decode(), e), np.int32(end))
                     copy = copies[doc] = copies.get(doc, -1) + 1
                     for part, lo in enumerate(range(0, len(ids), length)):
                         held.append((doc, part, copy, ids[lo : lo + length]))
                     n += len(ids)
-                    if n >= WINDOW_TOKENS:
+                    if n >= window:
                         yield from rows(held)
                         held, n, copies = [], 0, {}
         if held:
             yield from rows(held)
 
-    return source.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(NAMES, KINDS, strict=True)))
+    return source.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
