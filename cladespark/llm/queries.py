@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
-    table = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
-    return chat.digests(chat.read_back(chat.format_turns(chat.canonical(table.union(own)))))
+    turns = chat.canonical(_t(spark, sf_dir, "conversations"))
+    messages = [{"role": r, "content": control} for r in ("user", "assistant")]
+    own = chat.canonical_records(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(json.dumps({"messages": messages})).alias("record")), "record")
+    return chat.digests(chat.read_back(chat.format_turns(turns.unionByName(own))))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,24 +116,33 @@ select page_id, payload_bytes, payload_digest, case when first = page_id then 'r
 
 
 def op6_sql(v: licences.Vectors | None = None) -> str:
-    """Cosines of every line and whole text to every template, and the nearest licence text above each path."""
+    """Windows of every text and their cosines, and the nearest licence text above each path. The templates' texts and the
+    anchors are parameters; idf, weights and places are worked out here."""
     v = v or licences.Vectors()
-    idf = ", ".join(f"('{t}', {x!r}::double)" for t, x in sorted(v.idf.items()))
-    weights = ", ".join(f"('{t}', {k}, {w!r}::double)" for k, (_, vec) in enumerate(v.rows) for t, w in sorted(vec.items()))
-    names = ", ".join(f"({k}, '{n}')" for k, (n, _) in enumerate(v.rows))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    texts = ", ".join(f"({k}, {quoted(n)}, {quoted(t)})" for k, (n, t) in enumerate(licences.TEMPLATES))
+    anchors = ", ".join(f"({quoted(a)}, {k})" for a, ps in sorted(v.places.items()) for k, _, _ in ps)
     return f"""
-with idf(term, idf) as (values {idf}), weights(term, k, w) as (values {weights}), names(k, licence) as (values {names}),
+with templates(k, licence, text) as (values {texts}), anchors(term, k) as (values {anchors}),
+tl as (select k, licence, regexp_extract_all(lower(text), '{licences._TERM}') as ts from templates),
+tt as (select k, unnest(ts) as term, unnest(range(len(ts))) as o from tl),
+idf as (select term, ln((1 + (select count(*) from templates))::double / (1 + count(distinct k))) + 0.1::double as idf from tt group by 1),
+unknown as (select ln((1 + count(*))::double) as u from templates),
+tf as (select k, term, count(*) * any_value(idf) as x from tt join idf using (term) group by 1, 2),
+weights as (select k, term, x / sqrt(sum(x * x) over (partition by k)) as w from tf),
+places as (select term, k, min(o) as o, any_value(len(ts)) as n from tt join anchors using (term, k) join tl using (k) group by 1, 2),
 f as (select doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id as path, text from documents),
-l as (select distinct path, i - 1 as line, string_split(text, chr(10))[i] as s from f, range(1, 100000) r(i) where i <= len(string_split(text, chr(10))) union select distinct path, -1, text from f),
-t as (select path, line, unnest(regexp_extract_all(lower(s), '{licences._TERM}')) as term from l),
-n as (select path, line, term, count(*) as tf from t group by all),
-x as (select n.*, tf * coalesce(idf, {v.unknown!r}::double) as x from n left join idf using (term)),
-norms as (select path, line, sqrt(sum(x * x)) as norm from x group by all),
-dots as (select path, line, k, sum(x * w) as d from x join weights using (term) group by all),
-scored as (select path, line, k, round(d / norm, 9) as score from dots join norms using (path, line)),
-hits as (select * from scored where score >= {v.threshold}),
-best as (select path, arg_max(struct_pack(k, score), (score, -line, -k)) as b, max(line < 0) as whole from hits group by 1),
-own as (select path, licence, b.score as score, whole, regexp_replace(path, '/?[^/]*$', '') as dir from best join names on b.k = names.k),
+l as (select path, regexp_extract_all(lower(text), '{licences._TERM}') as ts from (select distinct path, text from f) where len(list_intersect(regexp_extract_all(lower(text), '{licences._TERM}'), (select list(term) from anchors))) > 0),
+t as (select path, unnest(ts) as term, unnest(range(len(ts))) as p from l),
+win as (select distinct path, greatest(p - o, 0) as start, k, n from t join places using (term)),
+wt as (select win.path, start, win.k, n, term, count(*) as c from win join t on t.path = win.path and p >= start and p < start + n group by all),
+wx as (select wt.*, c * coalesce(idf, u) as x from wt left join idf using (term), unknown),
+scored as (select path, start, wx.k, any_value(n) as n, round(sum(x * coalesce(w, 0)) / sqrt(sum(x * x)), 9) as score from wx left join weights using (k, term) group by 1, 2, 3),
+best as (select path, arg_max(struct_pack(k, score), (round(score - 2.0::double / n, 9), -start, -k)) as b from scored where score >= {v.threshold} group by 1),
+n as (select path, term, count(*) * coalesce(any_value(idf), any_value(u)) as x from t left join idf using (term), unknown group by 1, 2),
+dots as (select path, k, sum(x * w) as d from n join weights using (term) group by 1, 2),
+wholes as (select path, max(round(d / norm, 9)) >= {v.threshold} as whole from dots join (select path, sqrt(sum(x * x)) as norm from n group by 1) using (path) group by 1),
+own as (select path, licence, b.score as score, whole, regexp_replace(path, '/?[^/]*$', '') as dir from best join templates on b.k = templates.k join wholes using (path)),
 above as (select path, a, row_number() over (partition by path order by length(a) desc) as up from (
   select path, regexp_replace(path, '/?[^/]*$', '') as a from f union select path, regexp_replace(path, '/?[^/]*/[^/]*$', '') from f union select path, '' from f)),
 covers as (select dir, arg_min(struct_pack(licence, score, path), (-score, path)) as c from own where whole group by 1),
