@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Codes of characters; fixed values. DNA codes are masks of A, C, G, T; BIN of 0, 1; AA codes are positions.
+#: Codes of characters, masks of the states that a character may be; fixed values. The bits are A, C, G, T for DNA, 0, 1 for
+#: BIN and the order of AA_STATES for proteins, where B is N or D and Z is Q or E.
 DNA_CODES = {
     "A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "M": 3, "R": 5, "W": 9, "S": 6, "Y": 10, "K": 12,
     "V": 7, "H": 11, "D": 13, "B": 14, "N": 15, "O": 15, "X": 15, "-": 15, "?": 15,
 }
 BIN_CODES = {"0": 1, "1": 2, "-": 3, "?": 3}
 AA_STATES = "ARNDCQEGHILKMFPSTWYV"
-AA_CODES = {c: i for i, c in enumerate(AA_STATES)} | {"B": 20, "Z": 21, "X": 22, "*": 22, "-": 22, "?": 22}
+_AA_BIT = {c: 1 << i for i, c in enumerate(AA_STATES)}
+AA_CODES = _AA_BIT | {"B": _AA_BIT["N"] | _AA_BIT["D"], "Z": _AA_BIT["Q"] | _AA_BIT["E"]} | dict.fromkeys("X*-?", (1 << 20) - 1)
 CODES = {"DNA": DNA_CODES, "BIN": BIN_CODES, "PROT": AA_CODES}
 
 

@@ -116,7 +116,9 @@ def _patterns(spark, d) -> DataFrame:
     return alignment.patterns(A.alignment(spark, d)).withColumn("part_id", F.lit(0))
 
 
-@query("a23_parsimony")
+@query("a23_parsimony", f"""with {A.ALIGNMENT_SQL}, cols as (select site, list({{'m': state, 'c': 0}} order by taxon_id desc) as l from aln group by 1),
+folded as (select list_reduce(l, lambda a, b: {{'m': case when a.m & b.m = 0 then a.m | b.m else a.m & b.m end, 'c': a.c + case when a.m & b.m = 0 then 1 else 0 end}}) as r from cols)
+select 0 as part_id, sum(r.c)::bigint as score from folded""")
 def parsimony(spark, d):
     return likelihood.parsimony(_patterns(spark, d), likelihood.caterpillar(A.table(spark, d, "embeddings").count()))
 
@@ -127,6 +129,40 @@ def log_likelihood(spark, d):
     return rounded(likelihood.log_likelihood(_patterns(spark, d), likelihood.caterpillar(A.table(spark, d, "embeddings").count()), {}, model))
 
 
+#: Protein columns of three taxa: letters by remainders, with ambiguous ones and gaps among them.
+_LETTERS = "ARNDCQEGHILKMFPSTWYVBZX-"
+_TAXA_KEYS = ("l_partkey", "l_partkey + l_suppkey", "l_partkey + 7 * l_linenumber")
+_AA_SQL = f"""codes(ch, m) as (values {", ".join(f"('{c}', {alignment.AA_CODES[c]})" for c in _LETTERS)}),
+cols as (select l_suppkey % 3 as part_id, {", ".join(f"substr('{_LETTERS}', (1 + ({k}) % {len(_LETTERS)})::int, 1) as c{i}" for i, k in enumerate(_TAXA_KEYS))} from lineitem),
+pats as (select part_id, x.m as m0, y.m as m1, z.m as m2, count(*) as weight from cols join codes x on x.ch = c0 join codes y on y.ch = c1 join codes z on z.ch = c2 group by all)"""
+
+
+def protein_patterns(spark, d) -> DataFrame:
+    """``(part_id, pattern, weight)`` of protein characters read from text columns."""
+    letter = lambda k: alignment.encode(F.substr(F.lit(_LETTERS), (F.expr(f"1 + ({k}) % {len(_LETTERS)}")).cast("int"), F.lit(1)), "PROT")
+    cols = A.table(spark, d, "lineitem").select((F.col("l_suppkey") % 3).alias("part_id"), F.array(*[letter(k) for k in _TAXA_KEYS]).alias("pattern"))
+    return cols.groupBy("part_id", "pattern").agg(F.count(F.lit(1)).alias("weight"))
+
+
+_STAR = 0.3  # the length of each of the three branches
+_P = "(1 / 20.0::double + 19 / 20.0::double * exp(-20 / 19.0::double * 0.3::double))"
+_Q = "(1 / 20.0::double - 1 / 20.0::double * exp(-20 / 19.0::double * 0.3::double))"
+
+
+@query("a22_protein_likelihood", f"""with {_AA_SQL},
+parts as (select pats.*, {" * ".join(f"(bit_count(m{i}) * {_Q} + ((m{i} >> x::int) & 1) * ({_P} - {_Q}))" for i in range(3))} / 20 as l from pats, range(20) r(x)),
+sites as (select part_id, m0, m1, m2, any_value(weight) as weight, ln(sum(l)) as lnl from parts group by part_id, m0, m1, m2)
+select part_id, round(sum(weight * lnl), 4) as lnl from sites group by 1""")
+def protein_likelihood(spark, d):
+    return rounded(likelihood.log_likelihood(protein_patterns(spark, d), likelihood.caterpillar(3, _STAR), {}, likelihood.jukes_cantor(20)), 4)
+
+
+@query("a23_protein_parsimony", f"""with {_AA_SQL}, s as (select *, case when m0 & m1 = 0 then m0 | m1 else m0 & m1 end as m, case when m0 & m1 = 0 then 1 else 0 end as c from pats)
+select part_id, sum(weight * (c + case when m & m2 = 0 then 1 else 0 end))::bigint as score from s group by 1""")
+def protein_parsimony(spark, d):
+    return likelihood.parsimony(protein_patterns(spark, d), likelihood.caterpillar(3))
+
+
 @query("p11_gamma_rates")
 def gamma_rates(spark, d):
     rows = [(a, k, float(r)) for a in (0.1, 0.5, 1.0, 5.0) for k, r in enumerate(likelihood.gamma_rates(a))]
@@ -195,14 +231,14 @@ def bounds(spark, d):
 @query("p17_p18_names", "select c_custkey, 'brlens$' || (c_custkey % 4) as name, case c_nationkey % 3 when 0 then 'topo' when 1 then 'bl' else 'pi' end as short from customer")
 def names(spark, d):
     c = A.table(spark, d, "customer")
-    short = F.element_at(F.create_map(F.lit(0), F.lit("topo"), F.lit(1), F.lit("bl"), F.lit(2), F.lit("pi")), (F.col("c_nationkey") % 3).cast("int"))
-    return c.select("c_custkey", F.concat_ws("$", F.lit("brlens"), (F.col("c_custkey") % 4).cast("string")).alias("name"), short.alias("short"))
+    category = F.element_at(F.array(F.lit("topology"), F.lit("brlens"), F.lit("statefreq")), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    return c.select("c_custkey", scalar.run_name("brlens", F.col("c_custkey") % 4).alias("name"), scalar.short_name(category).alias("short"))
 
 
 @query("p19_log_space", "select l_returnflag, round(sum(ln(l_extendedprice)), 4) as ln_product, round(sum(ln(l_extendedprice)) * 0.5, 4) as ln_root from lineitem group by 1")
 def log_space(spark, d):
-    s = F.sum(F.log("l_extendedprice"))
-    return rounded(A.table(spark, d, "lineitem").groupBy("l_returnflag").agg(s.alias("ln_product"), (s * 0.5).alias("ln_root")), 4)
+    s = scalar.ln_product("l_extendedprice")
+    return rounded(A.table(spark, d, "lineitem").groupBy("l_returnflag").agg(s.alias("ln_product"), scalar.ln_power(s, 0.5).alias("ln_root")), 4)
 
 
 @query("p20_trim", "select n_nationkey, trim(n_name, 'AEIOU') as trimmed from nation")
@@ -214,9 +250,13 @@ def trimmed(spark, d):
 select s_suppkey, case when p in (1, 2) then 'specific' when p < 4 then 'general' else 'default' end as prior from s""")
 def priors(spark, d):
     """A prior given for a parameter's partitions comes before a general one, and that before the default."""
-    s = A.table(spark, d, "supplier").select("s_suppkey", F.array((F.col("s_suppkey") % 5).cast("int")).alias("parts"))
-    rules = spark.createDataFrame([(0, [1, 2], "specific"), (1, [0, 1, 2, 3], "general"), (2, [0, 1, 2, 3, 4], "default")], "priority int, ps array<int>, prior string")
-    return s.join(F.broadcast(rules), F.arrays_overlap("parts", "ps")).groupBy("s_suppkey").agg(F.min_by("prior", "priority").alias("prior"))
+    from ..sampler import config
+
+    given = config.parse("begin priors; brlenspr exponential(2); brlenspr{1,2} exponential(3); ratehetpr{1} uniform(0,9); end;", 5).priors
+    names = {3.0: "specific", 2.0: "general", 10.0: "default"}
+    # Partition 4 has its prior from a configuration without a general one.
+    of = {p: names[config.prior_for("brlens", {p}, given if p < 4 else given[2:]).rate] for p in range(5)}
+    return A.table(spark, d, "supplier").select("s_suppkey", F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), (F.col("s_suppkey") % 5).cast("int")).alias("prior"))
 
 
 # Sampling and streams.

@@ -108,3 +108,28 @@ def test_alignment(spark):
     f = spark.createDataFrame([(1, 30), (2, 10), (3, 20)], "state int, n long")
     got = {r.bit: r.frequency for r in alignment.frequencies(f, 2).collect()}
     assert got[0] + got[1] == pytest.approx(1) and got[0] == pytest.approx(0.75, abs=1e-3)
+
+
+def test_protein_characters_are_masks():
+    """Characters as they are read, with ambiguous ones, against a sum over all states."""
+    n = 20
+    rng = np.random.default_rng(6)
+    model = L.reversible(rng.uniform(0.2, 2, 190), np.full(n, 1 / n), None)
+    tree = parse_newick("(2:0.2,3:0.3,1:0.1);")
+    columns = ["AAA", "WWW", "ANB", "DZB", "XA-", "---", "QEZ", "VYK"]
+    masks = np.array([[alignment.AA_CODES[c] for c in x] for x in columns])
+    got = L.site_log_likelihoods(tree, model, L.mask_vectors(masks, n))
+    assert got == pytest.approx([brute(tree, model, m, n) for m in masks]) and np.isfinite(got).all()
+    assert got[5] == pytest.approx(0)
+    assert L.fitch_scores(tree, masks).tolist() == [0, 0, 1, 1, 0, 0, 1, 2]
+
+
+def test_places_of_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    from cladespark.operators.ranking import numbered
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x"), (F.col("id") % 3).alias("y"))
+    got = numbered(df, [F.col("y").desc(), F.col("x")], parts=7).collect()
+    assert [r.place for r in sorted(got, key=lambda r: (-r.y, r.x))] == list(range(5000))
+    assert numbered(df.filter("false"), [F.col("x")]).count() == 0
