@@ -131,3 +131,27 @@ def clock(seconds: float) -> str:
     """Hours, minutes and seconds."""
     s = int(seconds)
     return f"{s // 3600}:{s // 60 % 60:02d}:{s % 60:02d}"
+
+
+#: Short names of parameter categories, fixed values.
+SHORT_NAMES = {"topology": "topo", "brlens": "bl", "statefreq": "pi", "revmat": "r", "ratehet": "alpha", "aamodel": "aaModel"}
+
+
+def run_name(name: str | Column, run: str | Column) -> Column:
+    """A parameter's or proposal's name in a run: the name, a dollar sign and the run's number."""
+    return F.concat_ws("$", F.lit(name) if isinstance(name, str) else name, (F.col(run) if isinstance(run, str) else run).cast("string"))
+
+
+def short_name(category: Column) -> Column:
+    """The short name of a category, null if there is none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in SHORT_NAMES.items() for x in kv]), category)
+
+
+def ln_product(x: str | Column) -> Column:
+    """The log of a group's product, as a sum of logs."""
+    return F.sum(F.log(x))
+
+
+def ln_power(ln: Column, exponent: float) -> Column:
+    """The log of a power of a number that is given by its log."""
+    return ln * F.lit(exponent)

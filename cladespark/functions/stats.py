@@ -114,11 +114,12 @@ def ess(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFram
 
 
 def lag_products(samples: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
-    """``keys, lag, gamma``: autocovariances of lags 0 to ``lags`` by a self join on position, divisor n - lag."""
+    """``keys, lag, gamma``: autocovariances of lags 0 to ``lags`` by a self join on position, divisor n - lag. Positions are
+    whole numbers without gaps; a sample meets only those before it."""
     w = W.partitionBy(*keys)
-    d = samples.select(*keys, F.col(order).alias("__o"), (F.col(value) - F.avg(value).over(w)).alias("__d"))
-    ahead = d.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), (F.col("__o")).alias("__p"), F.col("__d").alias("__e")).withColumn("__o", F.col("__p") - F.col("lag"))
-    return d.join(ahead, [*keys, "__o"]).groupBy(*keys, "lag").agg(F.avg(F.col("__d") * F.col("__e")).alias("gamma"))
+    d = samples.select(*keys, F.col(order).alias("__o"), (F.col(order) - F.min(order).over(w)).alias("__b"), (F.col(value) - F.avg(value).over(w)).alias("__d"))
+    ahead = d.select(*keys, F.explode(F.sequence(F.lit(0), F.least(F.lit(lags), F.col("__b")).cast("int"))).alias("lag"), (F.col("__o")).alias("__p"), F.col("__d").alias("__e")).withColumn("__o", F.col("__p") - F.col("lag"))
+    return d.drop("__b").join(ahead, [*keys, "__o"]).groupBy(*keys, "lag").agg(F.avg(F.col("__d") * F.col("__e")).alias("gamma"))
 
 
 def ess_sql_form(samples: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
@@ -132,6 +133,22 @@ def ess_sql_form(samples: DataFrame, keys: list[str], order: str, value: str, la
     return lists.select(*keys, F.when(F.col("n") < 2, F.col("n").cast("double")).otherwise(F.try_divide(F.col("g")[F.lit(0)] * F.col("n"), F.col("g")[F.lit(0)] + step)).alias("ess"))
 
 
+def acceptance(counters: DataFrame, keys: list[str], accepted: str = "accepted") -> DataFrame:
+    """``keys, ratio, seen``: the part of proposals that were accepted, and how many there were."""
+    return counters.groupBy(*keys).agg((F.count_if(accepted) / F.count(F.lit(1))).alias("ratio"), F.count(F.lit(1)).alias("seen"))
+
+
+def merged_counts(counters: DataFrame, keys: list[str], accepted: str = "accepted") -> DataFrame:
+    """``keys, acc, rej``: accepted and rejected proposals over all chains and processes."""
+    return counters.groupBy(*keys).agg(F.count_if(accepted).alias("acc"), F.count_if(~F.col(accepted)).alias("rej"))
+
+
+def tuning_batches(counters: DataFrame, keys: list[str], order: str, size: int, accepted: str = "accepted") -> DataFrame:
+    """``keys, batch, ratio``: acceptance since the last tuning, which comes after every ``size`` proposals of a key."""
+    batch = F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1) / size)
+    return acceptance(counters.withColumn("batch", batch), [*keys, "batch"], accepted).drop("seen")
+
+
 def discrete_distribution(values: DataFrame, label: str, keys: list[str] | None = None) -> DataFrame:
     """``keys, distribution``: ``label:share`` of each label, the most frequent first, joined by commas."""
     keys = keys or []

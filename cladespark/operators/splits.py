@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .ranking import numbered
 
 
 # Burn-in. Trees are rows (file_id, tree_id, ordinal) with ordinals from 0.
@@ -121,7 +122,7 @@ def majority(obs: DataFrame, threshold: float, compat: bool = False) -> DataFram
 
 def split_ids(obs: DataFrame) -> DataFrame:
     """``(split_id, rank)``: dense ids of distinct splits in their own order, from 0."""
-    return obs.select("split_id").distinct().withColumn("rank", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("split_id")) - 1)
+    return numbered(obs.select("split_id").distinct(), [F.col("split_id")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def presence(obs: DataFrame) -> DataFrame:
@@ -189,6 +190,18 @@ def running(counted: DataFrame) -> DataFrame:
     return counted.withColumn("part", part).join(offsets, ["n", "part"]).withColumn("before", F.col("off") + (F.row_number().over(within) - 1) * F.col("n")).drop("part", "off")
 
 
+def topology_places(topologies: DataFrame) -> DataFrame:
+    """``(topology, place)``: all topologies from 1, the most frequent first, ties by name."""
+    return numbered(topology_counts(topologies), [F.desc("n"), F.col("topology")]).select("topology", (F.col("place") + 1).alias("place"))
+
+
+def occurrence_places(obs: DataFrame) -> DataFrame:
+    """``(split_id, up, down)``: places from 1 of all splits by rising and by falling occurrence, ties by split."""
+    o = occurrences(obs).select("split_id", "occ")
+    up = numbered(o, [F.col("occ"), F.col("split_id")], "up").select("split_id", (F.col("up") + 1).alias("up"))
+    return up.join(numbered(o, [F.desc("occ"), F.col("split_id")], "down").select("split_id", (F.col("down") + 1).alias("down")), "split_id")
+
+
 def credible_set(topologies: DataFrame, share: float) -> DataFrame:
     """``(topology, n, freq)`` of the most frequent topologies, up to and with the one whose running sum first exceeds
     floor(total * share); ties are taken by name."""

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import alignment, splits
+from ..sampler.chains import is_sample
 from ..sources import adapters as A
+from ..sources import formats
 from .registry import ORACLES, query
 
 T, O, TR, TP, AL, C = A.TRACE_SQL, A.OBS_SQL, A.TREES_SQL, A.TOPOLOGY_SQL, A.ALIGNMENT_SQL, A.COUNTERS_SQL
@@ -67,7 +69,7 @@ def _a8(spark, d):
     return rounded(stats.ess(A.trace(spark, d), ["run_id", "param"], "ordinal", "value"), 4)
 
 
-_LAGS = 20
+_LAGS = stats.MOST_LAGS
 _ESS = f"""with {T}, c as (select run_id, param, ordinal, value - avg(value) over (partition by run_id, param) as d, count(*) over (partition by run_id, param) as n from trace),
 lags as (select x.run_id, x.param, k.k, max(x.n) as n, avg(x.d * y.d) as g from c x join range(0, {_LAGS + 1}) k(k) on true join c y on x.run_id = y.run_id and x.param = y.param and y.ordinal = x.ordinal + k.k group by all),
 pairs as (select a.run_id, a.param, b.k / 2 as i, a.g + b.g as s from lags a join lags b on a.run_id = b.run_id and a.param = b.param and a.k % 2 = 1 and b.k = a.k + 1 where b.k < least(a.n - 1, {_LAGS})),
@@ -81,6 +83,9 @@ def _a8s(spark, d):
     return rounded(stats.ess_sql_form(A.trace(spark, d), ["run_id", "param"], "ordinal", "value", _LAGS), 4)
 
 
+ORACLES["a8_ess"] = ORACLES["a8_ess_sql_form"]
+
+
 @query("w3_lag_products", f"{_ESS} select run_id, param, k::int as lag, round(g, 6) as gamma from lags")
 def _w3(spark, d):
     return rounded(stats.lag_products(A.trace(spark, d), ["run_id", "param"], "ordinal", "value", _LAGS))
@@ -219,9 +224,7 @@ def _f8c(spark, d):
 
 @query("o1_o2_split_order", f"with {O}, {_OCC} select split_id, row_number() over (order by occ, split_id) as up, row_number() over (order by occ desc, split_id) as down from occ")
 def _o1(spark, d):
-    o = splits.occurrences(A.split_obs(spark, d))
-    one = W.partitionBy(F.lit(0))
-    return o.select("split_id", F.row_number().over(one.orderBy("occ", "split_id")).cast("long").alias("up"), F.row_number().over(one.orderBy(F.desc("occ"), "split_id")).cast("long").alias("down"))
+    return splits.occurrence_places(A.split_obs(spark, d))
 
 
 @query("a17_split_ids", f"with {O} select split_id, (dense_rank() over (order by split_id) - 1)::int as rank from (select distinct split_id from obs)")
@@ -354,10 +357,9 @@ def _a30(spark, d):
     return splits.credible_size(A.topology(A.split_obs(spark, d)))
 
 
-@query("o3_topology_order", f"with {TP}, {_TC} select topology, row_number() over (order by n desc, topology) as place from tt order by place limit 20")
+@query("o3_topology_order", f"with {TP}, {_TC} select topology, row_number() over (order by n desc, topology) as place from tt")
 def _o3(spark, d):
-    t = splits.topology_counts(A.topology(A.split_obs(spark, d)))
-    return t.orderBy(F.desc("n"), "topology").limit(20).withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "topology")).cast("long")).select("topology", "place")
+    return splits.topology_places(A.topology(A.split_obs(spark, d)))
 
 
 @query("a29_best_tree", f"with {T}, m as (select run_id, arg_max(ordinal, (value, -ordinal)) as ordinal, max(value) as value from trace where param = 'view' group by 1) select run_id, ordinal, round(value, 6) as value from m")
@@ -443,19 +445,17 @@ def _p1(spark, d):
 
 @query("a25_acceptance", f"with {C} select run_id, name, round(count(*) filter (accepted) / count(*), 9) as ratio, count(*) as seen from counters group by all")
 def _a25(spark, d):
-    return rounded(A.counters(spark, d).groupBy("run_id", "name").agg((F.count_if("accepted") / F.count(F.lit(1))).alias("ratio"), F.count(F.lit(1)).alias("seen")), 9)
+    return rounded(stats.acceptance(A.counters(spark, d), ["run_id", "name"]), 9)
 
 
 @query("a26_merge", f"with {C}, part as (select run_id, name, gen % 8 as p, count(*) filter (accepted) as acc, count(*) filter (not accepted) as rej from counters group by all) select run_id, sum(acc)::bigint as acc, sum(rej)::bigint as rej from part group by 1")
 def _a26(spark, d):
-    return A.counters(spark, d).groupBy("run_id").agg(F.count_if("accepted").alias("acc"), F.count_if(~F.col("accepted")).alias("rej"))
+    return stats.merged_counts(A.counters(spark, d), ["run_id"])
 
 
 @query("w4_batches", f"with {C}, k as (select *, (row_number() over (partition by run_id, name order by gen) - 1) // 10 as batch from counters) select run_id, name, batch, round(count(*) filter (accepted) / count(*), 9) as ratio from k group by all")
 def _w4(spark, d):
-    w = W.partitionBy("run_id", "name").orderBy("gen")
-    k = A.counters(spark, d).withColumn("batch", F.floor((F.row_number().over(w) - 1) / 10))
-    return rounded(k.groupBy("run_id", "name", "batch").agg((F.count_if("accepted") / F.count(F.lit(1))).alias("ratio")), 9)
+    return rounded(stats.tuning_batches(A.counters(spark, d), ["run_id", "name"], "gen", 10), 9)
 
 
 @query("d15_swap_matrix", "select least(user_id % 4, event_id % 4) as a, greatest(user_id % 4, event_id % 4) as b, count(*) filter (event_type = 'click') as acc, count(*) as seen from events where user_id % 4 <> event_id % 4 group by all")
@@ -466,19 +466,19 @@ def _d15(spark, d):
 
 @query("f11_sampling", "select event_id as gen, event_type as param, round(value, 6) as value from events where user_id % 4 = 0 and event_id % 50 = 0")
 def _f11(spark, d):
-    e = A.table(spark, d, "events").filter((F.col("user_id") % 4 == 0) & (F.col("event_id") % 50 == 0))
+    e = A.table(spark, d, "events").filter(is_sample(F.col("user_id") % 4, F.col("event_id"), 50))
     return rounded(e.select(F.col("event_id").alias("gen"), F.col("event_type").alias("param"), "value"))
 
 
 @query("k5_j11_restart", f"with {T} select run_id, count(*) as n, max(ordinal) as last from trace where ordinal <= 100 group by 1")
 def _k5(spark, d):
-    return A.trace(spark, d).filter("ordinal <= 100").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max("ordinal").alias("last"))
+    kept = formats.keep_until(A.trace(spark, d).withColumn("gen", F.col("ordinal")), 100)
+    return kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max("ordinal").alias("last"))
 
 
 @query("h1_columns", "select l_extendedprice, l_quantity, count(*) as n from lineitem group by all")
 def _h1(spark, d):
-    li = A.table(spark, d, "lineitem")
-    return li.select(li.colRegex("`(?i).*(price|quantity)`")).groupBy("l_extendedprice", "l_quantity").agg(F.count(F.lit(1)).alias("n"))
+    return formats.columns_like(A.table(spark, d, "lineitem"), "price$|quantity$").groupBy("l_extendedprice", "l_quantity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("h6_histogram", "select least(floor(value / 10), 100)::bigint as bucket, count(*) as n from events group by 1")

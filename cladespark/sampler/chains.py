@@ -84,6 +84,11 @@ def step(chain: Chain, data: Data, mixture: dict[str, float], config, rng: np.ra
     return accepted
 
 
+def is_sample(heat_ix, gen, every: int):
+    """Whether a chain's state is a sample: that of the cold one, every so many generations. Takes numbers or columns."""
+    return (heat_ix == 0) & (gen % every == 0)
+
+
 def sample_body(chain: Chain) -> str:
     s = chain.state
     return json.dumps({"newick": s.tree.newick(), "TL": s.tree.total_length(), "alpha": s.alpha, "pi": list(s.freqs), "r": list(s.rates), "matrix": s.matrix})
@@ -156,7 +161,7 @@ class Sampler:
             for _ in range(gens):
                 for k, chain in chains.items():
                     step(chain, data, mixture, config.proposals, generator(seed, run_id, k, chain.gen + 1), beta(chain), config.run.tuneFreq)
-                    if chain.heat_ix == 0 and chain.gen % config.run.samplingFreq == 0:
+                    if is_sample(chain.heat_ix, chain.gen, config.run.samplingFreq):
                         out.append((run_id, k, "sample", chain.gen, 0, chain.lnl, chain.lnpr, chain.best, sample_body(chain)))
                 for i, j, log_u in swaps(seed, run_id, chain.gen, len(chains), config.run.numSwapsPerGen):
                     a, b = chains[i], chains[j]

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.alignment import encode, scheme_faults, sites_of
+from ..operators.ranking import numbered
 
 #: Names of protein matrices that a scheme may give, fixed values.
 PROTEIN_MODELS = (
@@ -237,8 +238,8 @@ def read_trace(spark: SparkSession, path: str, run_id: int) -> DataFrame:
     for c in wide.columns[1:]:
         text = c.startswith("aaModel")
         pairs.append(F.struct(F.lit(c).alias("param"), (F.lit(None).cast("double") if text else F.col(f"`{c}`")).alias("value"), (F.col(f"`{c}`") if text else F.lit(None).cast("string")).alias("label")))
-    numbered = wide.withColumn("ordinal", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col(gen))).cast("long"))
-    return numbered.select(F.lit(run_id).alias("run_id"), "ordinal", F.col(gen).cast("long").alias("gen"), F.explode(F.array(*pairs)).alias("x")).select("run_id", "ordinal", "gen", "x.*")
+    placed = numbered(wide, [F.col(gen), F.xxhash64(*[F.col(f"`{c}`") for c in wide.columns])], "ordinal").withColumn("ordinal", F.col("ordinal") + 1)
+    return placed.select(F.lit(run_id).alias("run_id"), "ordinal", F.col(gen).cast("long").alias("gen"), F.explode(F.array(*pairs)).alias("x")).select("run_id", "ordinal", "gen", "x.*")
 
 
 def keep_until(rows: DataFrame, gen: int, compat: bool = False, kind: str = "trees") -> DataFrame:
