@@ -71,7 +71,8 @@ def _a8(spark, d):
 
 _LAGS = stats.MOST_LAGS
 _ESS = f"""with {T}, c as (select run_id, param, ordinal, value - avg(value) over (partition by run_id, param) as d, count(*) over (partition by run_id, param) as n from trace),
-lags as (select x.run_id, x.param, k.k, max(x.n) as n, avg(x.d * y.d) as g from c x join range(0, {_LAGS + 1}) k(k) on true join c y on x.run_id = y.run_id and x.param = y.param and y.ordinal = x.ordinal + k.k group by all),
+ahead as (select *, unnest(range(0, least({_LAGS}, n - ordinal) + 1)) as k from c),
+lags as (select x.run_id, x.param, x.k, max(x.n) as n, avg(x.d * y.d) as g from ahead x join c y on x.run_id = y.run_id and x.param = y.param and y.ordinal = x.ordinal + x.k group by all),
 pairs as (select a.run_id, a.param, b.k / 2 as i, a.g + b.g as s from lags a join lags b on a.run_id = b.run_id and a.param = b.param and a.k % 2 = 1 and b.k = a.k + 1 where b.k < least(a.n - 1, {_LAGS})),
 live as (select *, min(case when s > 0 then 1 else 0 end) over (partition by run_id, param order by i) as ok from pairs),
 added as (select run_id, param, sum(case when ok = 1 then 2 * s else 0 end) as v from live group by all)"""
