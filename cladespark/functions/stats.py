@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Lags that the autocovariance sum of the effective sample size looks at.
 MOST_LAGS = 2000
+#: Samples of a trace that are one block of lagged products, and lags that one step of an aggregation takes.
+LAG_BLOCK, UNROLLED = 4096, 24
 
 
 def _c(x) -> Column:
@@ -114,12 +116,28 @@ def ess(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFram
 
 
 def lag_products(samples: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
-    """``keys, lag, gamma``: autocovariances of lags 0 to ``lags`` by a self join on position, divisor n - lag. Positions are
-    whole numbers without gaps; a sample meets only those before it."""
+    """``keys, lag, gamma``: autocovariances of lags 0 to ``lags``, divisor n - lag, products with a null left out. Positions
+    are whole numbers without gaps.
+
+    Traces are cut into blocks, and a block also gets the samples up to ``lags`` after it, so a sample is shuffled at
+    most twice. Samples meet those after them as elements of their block, ``UNROLLED`` lags at a time, and the products
+    go into sums where they are made.
+    """
     w = W.partitionBy(*keys)
-    d = samples.select(*keys, F.col(order).alias("__o"), (F.col(order) - F.min(order).over(w)).alias("__b"), (F.col(value) - F.avg(value).over(w)).alias("__d"))
-    ahead = d.select(*keys, F.explode(F.sequence(F.lit(0), F.least(F.lit(lags), F.col("__b")).cast("int"))).alias("lag"), (F.col("__o")).alias("__p"), F.col("__d").alias("__e")).withColumn("__o", F.col("__p") - F.col("lag"))
-    return d.drop("__b").join(ahead, [*keys, "__o"]).groupBy(*keys, "lag").agg(F.avg(F.col("__d") * F.col("__e")).alias("gamma"))
+    size = max(lags, LAG_BLOCK)
+    at, block, i = F.col("__at"), F.col("__block"), F.col("__i")
+    d = samples.select(*keys, (F.col(order) - F.min(order).over(w)).alias("__at"), (F.col(value) - F.avg(value).over(w)).alias("__d"))
+    own = F.floor(at / size)
+    placed = d.select(*keys, "__at", "__d", F.explode(F.when((own > 0) & (at % size < lags), F.array(own, own - 1)).otherwise(F.array(own))).alias("__block"))
+    blocks = placed.groupBy(*keys, "__block").agg(F.array_sort(F.collect_list(F.struct("__at", "__d")))["__d"].alias("__x"))
+    # Few bytes make many products, so the number of partitions must not follow from bytes.
+    blocks = blocks.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "__block")
+    steps = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(lags // UNROLLED))).alias("__step"))
+    heads = steps.select("*", F.posexplode(F.slice("__x", 1, size)).alias("__i", "__d"))
+    sums = heads.groupBy(*keys, "__step").agg(F.max(block * size + i).alias("__last"), *[F.avg(F.col("__d") * F.get("__x", i + F.col("__step") * UNROLLED + j)).alias(f"__{j}") for j in range(UNROLLED)])
+    rows = sums.select(*keys, "__step", "__last", F.posexplode(F.array(*[f"__{j}" for j in range(UNROLLED)])).alias("__j", "gamma"))
+    lag = (F.col("__step") * UNROLLED + F.col("__j")).alias("lag")
+    return rows.select(*keys, lag, "gamma", "__last").filter((F.col("lag") <= lags) & (F.col("lag") <= F.col("__last"))).drop("__last")
 
 
 def ess_sql_form(samples: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:

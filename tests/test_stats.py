@@ -37,6 +37,43 @@ def test_ess_forms_agree(spark):
     assert a == pytest.approx(b)
 
 
+def slow_products(values, lags):
+    x = np.array([np.nan if v is None else v for v in values], float)
+    d = x - np.nanmean(x)
+    return {k: float(np.nanmean(d[: len(d) - k] * d[k:])) for k in range(min(lags, len(d) - 1) + 1)}
+
+
+def test_lag_products_over_blocks(spark, monkeypatch):
+    """Traces of less than a block, of whole blocks and of some, from any first position, with a null."""
+    monkeypatch.setattr(stats, "LAG_BLOCK", 16)
+    monkeypatch.setattr(stats, "UNROLLED", 3)
+    rng = np.random.default_rng(4)
+    traces = {k: [float(v) for v in rng.normal(size=n)] for k, n in enumerate((1, 2, 15, 16, 17, 32, 33, 100))}
+    traces[7][40] = None
+    df = spark.createDataFrame([(k, 5 * k + i, v) for k, vs in traces.items() for i, v in enumerate(vs)], "k int, i long, v double")
+    for lags in (0, 7, 16, 40):
+        got = {(r.k, r.lag): r.gamma for r in stats.lag_products(df, ["k"], "i", "v", lags).collect()}
+        assert got == pytest.approx({(k, lag): g for k, vs in traces.items() for lag, g in slow_products(vs, lags).items()})
+
+
+def shuffled_rows(spark):
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lag_products_shuffle_samples_not_pairs(spark):
+    """Fails by disk otherwise: a trace has up to 2,001 pairs for each sample."""
+    df = spark.range(10_000).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.sin("id").alias("v"))
+    before = shuffled_rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for traces that are too large for it
+    try:
+        assert stats.lag_products(df, ["k"], "i", "v", 200).count() == 201
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < shuffled_rows(spark) - before < 3 * 10_000
+
+
 def test_psrf(spark):
     df = spark.createDataFrame([("a", 0, 1.0), ("a", 0, 2.0), ("b", 0, 1.0), ("b", 0, 3.0), ("b", 1, 2.0), ("b", 1, 4.0)], "p string, r int, v double")
     got = {r.p: r.psrf for r in stats.psrf(df, ["p"], "r", "v").collect()}
