@@ -37,6 +37,23 @@ def test_ess_forms_agree(spark):
     assert a == pytest.approx(b)
 
 
+def test_ess_sql_form_over_blocks(spark, monkeypatch):
+    """A trace that stays positive for longer than a block, and one that ends within its first; samples alone are shuffled."""
+    monkeypatch.setattr(stats, "LAG_BLOCK", 64, raising=False)
+    rng = np.random.default_rng(6)
+    slow = np.convolve(rng.normal(size=2200), np.ones(200), "valid")
+    traces = {0: slow, 1: rng.normal(size=50)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, vs in traces.items() for i, v in enumerate(vs)], "k int, i long, v double")
+    before = shuffled_rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.k: r.ess for r in stats.ess_sql_form(df, ["k"], "i", "v", 300).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == pytest.approx({k: stats.ess_of(vs, 300) for k, vs in traces.items()})
+    assert shuffled_rows(spark) - before < 10 * 2051
+
+
 def slow_products(values, lags):
     x = np.array([np.nan if v is None else v for v in values], float)
     d = x - np.nanmean(x)
