@@ -1,4 +1,5 @@
-"""Near-duplicates at a shingle similarity: MinHash bands bring texts together, exact Jaccard of five-word shingles links them."""
+"""Near-duplicates at a shingle similarity: SimHash blocks and then MinHash bands bring texts together, exact Jaccard of
+five-word shingles links them."""
 
 from __future__ import annotations
 
@@ -7,11 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, arrow_pass, durable, field, grams, pieces
+from . import simhash
+from .common import PIECE_BYTES, arrow_pass, durable, field, grams, hot_join, pieces
 from .graph import components, members
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Fingerprints of five-word shingles that differ in at most so many bits are candidates. Texts of similarity 0.8 differ in
+#: more bits than blocks can find (9.7 on average); bands find the links beyond.
+DISTANCE = 3
 #: A text has BANDS keys of ROWS minima. Two texts of similarity s share none with probability (1 - s ** ROWS) ** BANDS:
 #: 7 in a million at 0.8, less above.
 BANDS, ROWS = 30, 5
@@ -58,13 +63,14 @@ def _long(x) -> np.ndarray:
 
 
 def _marks(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """``(doc_id, node, keys)``: texts of the same words are one node."""
+    """``(doc_id, node, fp, keys)``: texts of the same words are one node, ``fp`` is the SimHash of its shingles."""
 
     def run(texts):
         codes = [word_codes(t) for t in texts]
-        return {"node": _long([_node(c) for c in codes]), "keys": pa.array([_long(bands(shingles(c))) for c in codes], pa.list_(pa.int64()))}
+        sets = [shingles(c) for c in codes]
+        return {"node": _long([_node(c) for c in codes]), "fp": _long([simhash.of_hashes(s) for s in sets]), "keys": pa.array([_long(bands(s)) for s in sets], pa.list_(pa.int64()))}
 
-    return arrow_pass(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", [field("node", "long"), field("keys", "array<bigint>")], run)
+    return arrow_pass(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", [field("node", "long"), field("fp", "long"), field("keys", "array<bigint>")], run)
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:
@@ -94,18 +100,33 @@ def _pair(x: str | Column, y: str | Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def close(marks: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes by SimHash. Nodes of one fingerprint are a class, and each is paired with the smallest of
+    its class; classes whose fingerprints differ in at most ``distance`` bits, found by blocks and verified by Hamming
+    distance, are paired by their smallest nodes."""
+    nodes = durable(marks.select("node", "fp").distinct())
+    classes = durable(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")))
+    copies = hot_join(nodes, classes, "fp", "n").filter("node <> least").select(*_pair("node", "least"))
+    near = simhash.links(classes.select("fp"), distance)
+    ends = [classes.select(F.col("fp").alias(e), F.col("least").alias(f"least_{e}")) for e in "ab"]
+    return copies.union(near.join(ends[0], "a").join(ends[1], "b").select(*_pair("least_a", "least_b")))
+
+
 def links(marks: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes that join all nodes that meet in a bucket, and are similar, into their components.
+    """Pairs ``(a, b)`` of nodes that join all nodes that are close by SimHash or meet in a bucket, and are similar, into
+    their components.
 
-    First each member of a bucket is held against one centre, another in each bucket, which takes a linear number of
-    pairs and joins most groups. Then the pairs of a bucket that are still in different components are held against
+    First the pairs close by SimHash are verified, and each member of a bucket is held against one centre, another in
+    each bucket, which takes a linear number of pairs and joins most groups. Then the pairs of a bucket that are still in different components are held against
     each other, all of them: members outside the bucket's largest component meet its other members chunk by chunk.
     """
     rows = marks.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).filter("n > 1")
     shared = durable(rows.join(sizes, "key"))
-    held = durable(sets.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
-    stars = durable(shared.filter("node <> centre").select(*_pair("node", "centre")).distinct())
+    near = durable(close(marks))
+    met = shared.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    held = durable(sets.join(met, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+    stars = durable(near.union(shared.filter("node <> centre").select(*_pair("node", "centre"))).distinct())
     first = durable(_verified(stars, held, similarity))
     of = components(first)
     placed = shared.join(of, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))

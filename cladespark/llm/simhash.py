@@ -40,6 +40,14 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big")
 
 
+def of_hashes(h: np.ndarray) -> int:
+    """The 64-bit SimHash of 64-bit hashes, unsigned: a bit is set if it is set in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(h), CHUNK):
+        votes += np.unpackbits(h[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(h)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
     """``(doc_id, fp)`` with the fingerprint as a signed long. Null and wordless texts have fingerprint 0."""
 

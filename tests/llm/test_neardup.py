@@ -1,6 +1,8 @@
 import random
 
-from cladespark.llm import neardup
+import pytest
+
+from cladespark.llm import neardup, simhash
 
 
 def slow_set(text):
@@ -75,3 +77,33 @@ def test_stage_links_similarity(spark):
     stage = dict(corpus_pipeline.STAGES)["near duplicates"]
     kept = {r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert kept == {i for i, c in want.items() if i == c}
+
+
+def test_stage_goes_through_simhash(spark, monkeypatch):
+    """Fingerprints, blocks and Hamming distance give candidates of their own: without any band they link close copies,
+    and they link no pair that is not similar."""
+    monkeypatch.setattr(neardup, "bands", lambda s: [])
+    rng = random.Random(8)
+    base = ["w%d" % rng.randrange(4000) for _ in range(3000)]
+    rows = [(0, " ".join(base))] + [(1 + k, " ".join(changed(base, 3, rng))) for k in range(20)]
+    rows += [(100 + k, " ".join("v%d" % rng.randrange(4000) for _ in range(30))) for k in range(20)] + [(200, ""), (201, "0")]
+    marks = neardup._marks(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id")
+    fps = {r.doc_id: r.fp for r in marks.collect()}
+    near = {(i, j) for i in fps for j in fps if i < j and ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= neardup.DISTANCE}
+    assert {(0, k) for k in range(1, 21)} & near
+    want = {i: i for i in fps}
+    for _ in fps:
+        for i, j in near:
+            if slow_set(dict(rows)[i]) and len(slow_set(dict(rows)[i]) & slow_set(dict(rows)[j])) >= 0.8 * len(slow_set(dict(rows)[i]) | slow_set(dict(rows)[j])):
+                want[i] = want[j] = min(want[i], want[j])
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 70])
+def test_fingerprint_of_hashes(monkeypatch, n):
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    h = np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64)
+    assert simhash.of_hashes(h) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > n)
