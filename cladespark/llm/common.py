@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,10 +46,33 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset and all runs in one process, as in
-    tests, a local temporary folder is used. On a cluster a missing setting is an error.
+    tests, a local temporary folder is used. On a cluster a missing setting is an error. The shuffle files behind the
+    checkpoint go once it is written.
     """
     _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a query made here, so that the setting is its own
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run in here remove their shuffle files when they end. Otherwise these stay until the
+    driver happens to collect its garbage, and an operator of many steps has those of all of them on disk."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def first_row(df: DataFrame) -> Row | None:
+    """``df.first()``, without leaving shuffle files behind."""
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").first()
 
 
 #: A key with over one in so many rows is hot. There are fewer hot keys than this, however the rows are dealt.
@@ -63,7 +87,7 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFr
     keys meet in a shuffle, where none is large. ``left`` is read twice and should be durable or cheap. The column
     ``weight`` does not come with the result, unless ``left`` has one of that name.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    total = first_row(right.agg(F.sum(weight)))[0] or 0
     hot = right.filter(F.col(weight) * HOT_SHARE > total).drop(weight)
     cold = right.filter(F.col(weight) * HOT_SHARE <= total).drop(weight)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)

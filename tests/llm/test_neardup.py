@@ -1,8 +1,11 @@
 import random
+import time
 
 import pytest
 
 from cladespark.llm import neardup, simhash
+from cladespark.llm.common import durable
+from cladespark.llm.graph import components
 
 
 def slow_set(text):
@@ -107,3 +110,23 @@ def test_fingerprint_of_hashes(monkeypatch, n):
     monkeypatch.setattr(simhash, "CHUNK", 16)
     h = np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64)
     assert simhash.of_hashes(h) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > n)
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Fails by disk otherwise: where there are many partitions, files of all steps are there at once."""
+    before = shuffle_files(spark)
+    edges = spark.range(1000).selectExpr("id a", "id + id % 7 b")
+    of = components(edges)  # held, so that nothing is removed as garbage
+    totals = durable(of.groupBy("component").count())
+    for _ in range(100):  # they are removed in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+    assert totals.agg({"count": "sum"}).first()[0] == of.count()
